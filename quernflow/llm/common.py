@@ -74,3 +74,15 @@ def id_bounds(df: DataFrame, column: str, parts: int) -> list[int]:
     at = [i / parts for i in range(1, parts)]
     found = df.select(F.col(column).cast("double").alias("v")).approxQuantile("v", at, 0.2 / parts)
     return sorted({int(x) for x in found})
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that `df` does not have, whatever its own are called."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import line_dedup, quality_rules, simhash
 from .chunk_bpe import encode_documents
 from .common import table
 from .packing import pack_documents
@@ -23,6 +24,14 @@ def vocabulary(name: str = WORD_BPE) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
+    rows, at, failed, kept = quality_rules.judge(docs, rules)
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return rows.select("doc_id", *[F.col(at[k]).alias(k) for k in base], F.col(failed).alias("base_failed"), F.col(kept).alias("kept"))
+
+
 def op4_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = encode_documents(table(spark, sf_dir, "documents"), vocabulary())
     return rows.select(
@@ -39,14 +48,33 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows, n_lines, n_dropped = line_dedup.dedup_lines(docs)
+    return rows.select(
+        "doc_id",
+        F.col(n_lines).alias("n_lines"),
+        F.col(n_dropped).alias("n_dropped"),
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pack_documents(table(spark, sf_dir, "documents"), vocabulary())
     return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_quality_rules": op3_quality_rules,
         "op4_chunk_bpe": op4_chunk_bpe,
         "op6_token_files": op6_token_files,
+        "op7_line_dedup": op7_line_dedup,
         "op8_packing": op8_packing,
+        "op10_simhash": op10_simhash,
     }
