@@ -1,12 +1,47 @@
-"""The corpus pipeline: quality rules, line dedup, SimHash near-dedup, packing."""
+"""The corpus pipeline: quality rules, line dedup, SimHash near-dedup, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quernflow.llm import common, line_dedup, packing, quality_rules, simhash
+from quernflow.llm.queries import vocabulary
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rule and the decision list learned from the labels."""
+    rules = quality_rules.fit(docs, common.table(spark, sf_dir, "labels"))
+    return quality_rules.filter_quality(docs, rules)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that repeat over documents; n_chars follows the text."""
+    rows, _, _ = line_dedup.dedup_lines(docs)
+    kept = rows.select(*docs.columns)
+    return kept.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else kept
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sequences: one row per piece, with its ids."""
+    return packing.pack_documents(docs, vocabulary())
+
 
-STAGES: list = []
+STAGES = [("quality rules", quality), ("line dedup", lines), ("simhash near-dedup", near_copies), ("packing", pack)]
+#: SQL can express neither the learned rules nor the vocabulary; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
