@@ -85,7 +85,8 @@ def add_statistics(docs: DataFrame, names: list[str], text_col: str = "text") ->
         "n_bangs": gone("!"),
         "n_pipes": gone("|"),
     }
-    return five.select(*docs.columns, *[made[k].alias(n) for k, n in zip(STATISTICS, names, strict=True)])
+    # A generator of one row: filters on statistics stay above it. Pushed below, each would repeat the whole expression.
+    return five.select(*docs.columns, F.inline(F.array(F.struct(*[made[k].alias(n) for k, n in zip(STATISTICS, names, strict=True)]))))
 
 
 @dataclass(frozen=True)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality_rules, simhash
+from . import block_search, html_extract, lattice_lm, line_dedup, quality_rules, simhash, url_filter
 from .chunk_bpe import encode_documents
 from .common import table
 from .packing import pack_documents
@@ -24,6 +24,15 @@ def vocabulary(name: str = WORD_BPE) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op2_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return block_search.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
@@ -43,6 +52,10 @@ def op4_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = token_files(table(spark, sf_dir, "documents"), vocabulary())
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -64,6 +77,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -71,10 +88,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_extract": op1_html_extract,
+        "op2_block_search": op2_block_search,
         "op3_quality_rules": op3_quality_rules,
         "op4_chunk_bpe": op4_chunk_bpe,
+        "op5_url_filter": op5_url_filter,
         "op6_token_files": op6_token_files,
         "op7_line_dedup": op7_line_dedup,
         "op8_packing": op8_packing,
+        "op9_lattice_lm": op9_lattice_lm,
         "op10_simhash": op10_simhash,
     }
