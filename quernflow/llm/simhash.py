@@ -160,7 +160,7 @@ def components(pairs: DataFrame, label: str = "components") -> DataFrame:
     while edges.take(1):
         turn += 1
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        order = lambda c: F.struct(F.xxhash64(F.lit(turn), c), F.col(c))
+        order = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), F.col(c).alias("b"))
         joined = both.groupBy("a").agg(F.least(F.min(order("b")), F.min(order("a"))).alias("m")).select(F.col("a").alias("node"), F.col("m").getField("b").alias("root"))
         step = stored(joined, label)
         if roots is None:
