@@ -107,7 +107,7 @@ def drop_marks(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = M
     runs = by_doc.groupBy("h1", "h2").agg(
         (F.sum(F.when(F.col("n") > 0, F.col("n")).otherwise(1)) >= min_docs).alias("many"), F.max("doc").alias("leader")
     )  # at most two hashes a task
-    late = opened.where("pos >= 0").join(runs, ["h1", "h2"]).where("many and doc <> leader")
+    late = opened.where("pos >= 0").join(F.broadcast(runs), ["h1", "h2"]).where("many and doc <> leader")
     cols = ["doc", "row", "pos", "n_lines"]
     return marks.where("not open").select(cols).unionByName(late.select(cols))
 
