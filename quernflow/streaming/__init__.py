@@ -1,0 +1,2 @@
+"""Streams. The engine is a batch engine: it has no stream operators of its own; a job over files that keep arriving is
+run anew for each period through its templates. Structured Streaming is at hand on the same session."""
