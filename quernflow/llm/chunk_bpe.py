@@ -96,7 +96,7 @@ class Chunks:
         for key, entry in zip(fresh, self._encode_new([*fresh]), strict=True):
             entries[fresh[key]] = entry
             self.keep(key, entry)
-        reused = [e is not None for e in entries]
+        reused = [True] * n
         for key, i in fresh.items():
             reused[i] = False
             fresh[key] = entries[i]

@@ -18,6 +18,8 @@ import pyarrow as pa
 
 #: Bytes of text handled together; longer texts are cut at white space, so memory stays bounded.
 SLAB = 5_000_000
+#: Bytes of a run that is merged here; longer ones go through the library, whose merges do not slow down with length.
+LONGEST = 400
 #: The rank of pairs that do not merge.
 _NONE = 1 << 30
 _BLANK, _LETTER, _DIGIT, _OTHER, _ODD = range(5)
@@ -183,7 +185,7 @@ class WordBPE:
         starts, sizes = starts[keep], sizes[keep]
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(edges), np.int64)
-        odd_run = kind[starts] == _ODD
+        odd_run = (kind[starts] == _ODD) | (sizes > LONGEST)
         one, same = self._equal(low, starts, sizes, odd_run)
         plain = np.flatnonzero(~odd_run[one])
         ids, counts = self.merge(low[spans(starts[one[plain]], sizes[one[plain]])], sizes[one[plain]])
