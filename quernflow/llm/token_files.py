@@ -163,7 +163,7 @@ def write_tokens(
     docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text"
 ) -> None:
     """Write the token files of a table. Rows of the files: shard (ascending ranges of doc_id), segment (ascending in
-    the shard), n_docs, n_tokens, data. Range bounds come from a scan of the id column alone; ids then travel as
+    the shard), start (ids of the shard before it), n_docs, n_tokens, data. Range bounds come from a scan of the id column alone; ids then travel as
     16-bit numbers in one exchange, and a task holds one segment at a time."""
     spark = docs.sparkSession
     bound_batches(spark)
@@ -191,22 +191,22 @@ def write_tokens(
             )
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, number, doc_ids, held, size = None, 0, [], [], 0
+        shard, number, start, doc_ids, held, size = None, 0, 0, [], [], 0
 
         def close() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(held), "<u2").astype(np.int64)
             lengths = np.fromiter((len(x) // 2 for x in held), np.int64, len(held))
             data = write_segment(doc_ids, lengths, ids)
             return pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([len(held)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([data], pa.binary())],
-                names=["shard", "segment", "n_docs", "n_tokens", "data"],
+                [pa.array([shard], pa.int32()), pa.array([number], pa.int32()), *(pa.array([x], pa.int64()) for x in (start, len(held), len(ids))), pa.array([data], pa.binary())],
+                names=["shard", "segment", "start", "n_docs", "n_tokens", "data"],
             )
 
         for batch in batches:
             for s, d, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and (s != shard or size >= SEGMENT):
                     yield close()
-                    number = number + 1 if s == shard else 0
+                    number, start = (number + 1, start + size) if s == shard else (0, 0)
                     doc_ids, held, size = [], [], 0
                 shard = s
                 doc_ids.append(d)
@@ -217,30 +217,21 @@ def write_tokens(
 
     encoded = rows.mapInArrow(encode, "shard int, doc_id bigint, ids binary")
     ordered = encoded.repartition(parts, "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "ids")
-    ordered.mapInArrow(code, "shard int, segment int, n_docs bigint, n_tokens bigint, data binary").write.option("compression", "none").parquet(path)
+    ordered.mapInArrow(code, "shard int, segment int, start bigint, n_docs bigint, n_tokens bigint, data binary").write.option("compression", "none").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """Documents of token files: doc_id, start (ids of all documents before it), n_tokens, ids (unsigned 32-bit)."""
     bound_batches(spark)
-    files = spark.read.schema("shard int, segment int, n_docs bigint, n_tokens bigint, data binary").parquet(path)
+    files = spark.read.schema("shard int, segment int, start bigint, n_docs bigint, n_tokens bigint, data binary").parquet(path)
     # one number for each shard, of which there are no more than shuffle partitions
     sizes = {r.shard: r.n for r in files.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect()}
-    segments = files.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("segment", "n_tokens"))).alias("all"))
     before, total = [], 0
     for shard in sorted(sizes):
         before.append((shard, total))
         total += sizes[shard]
-    starts = spark.createDataFrame(before, "shard int, base bigint")
-    at = (
-        segments.join(F.broadcast(starts), "shard")
-        .select("shard", "base", F.posexplode("all").alias("i", "one"), "all")
-        .select(
-            "shard",
-            F.col("one.segment").alias("segment"),
-            (F.col("base") + F.aggregate(F.slice("all", 1, F.col("i")), F.lit(0).cast("bigint"), lambda s, x: s + x["n_tokens"])).alias("start"),
-        )
-    )
+    bases = F.broadcast(spark.createDataFrame(before, "shard int, base bigint"))
+    segments = files.join(bases, "shard").select((F.col("base") + F.col("start")).alias("start"), "data")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,7 +250,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids"],
                 )
 
-    return files.join(at, ["shard", "segment"]).select("start", "data").mapInArrow(decode, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+    return segments.mapInArrow(decode, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
 
 
 def token_files(docs: DataFrame, tokenizer: str, *, end_id: int = 1) -> DataFrame:
