@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BLANKS, LOWER, UPPER, bound_batches, lower_ascii, stored
-from .wordbpe import PairRanks, byte_letters
+from .wordbpe import byte_letters
 
 #: Words that are broadcast at most, rounds of re-estimation, and what is added to every piece's expected count.
 HEAD, ROUNDS, ADDED = 131_072, 2, 0.05
@@ -57,19 +57,6 @@ def _hashes(rows: np.ndarray) -> np.ndarray:
     return h
 
 
-def _log_sum(terms: list[np.ndarray]) -> np.ndarray:
-    """Logarithm of the sum of exponentials, term by term; minus infinity where all terms are."""
-    if len(terms) == 1:
-        return terms[0]
-    all_ = np.stack(terms)  # one row per term: each row is contiguous
-    top = all_.max(0)
-    top[~np.isfinite(top)] = 0
-    all_ -= top
-    np.exp(all_, out=all_)
-    with np.errstate(divide="ignore"):
-        return np.log(all_.sum(0)) + top
-
-
 class Lattice:
     """Sums over all segmentations of words into pieces."""
 
@@ -81,25 +68,21 @@ class Lattice:
             log_p = np.log(weight / weight.sum())
         self.log_p = log_p
         self.longest = max(map(len, parts))
-        # one table for pieces inside words and one for pieces that end them, by hash and length
-        self.tables = []
-        for end in (False, True):
-            ids = np.array([i for i, e in enumerate(ends) if e == end], np.int64)
-            keys = np.zeros(len(ids), np.int64)
-            sizes = np.array([len(parts[i]) for i in ids])
-            for length in np.unique(sizes).tolist():
-                at = np.flatnonzero(sizes == length)
-                keys[at] = self._key(length, _hashes(np.frombuffer(b"".join(parts[i] for i in ids[at].tolist()), np.uint8).reshape(-1, length)))
-            self.tables.append((PairRanks(keys, 18), np.append(ids, -1)))
-
-    @staticmethod
-    def _key(length: int, h: np.ndarray) -> np.ndarray:
-        return (((h + np.uint64(length)) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(1)).view(np.int64)
+        self.tables = {}
+        for length in range(1, self.longest + 1):
+            for end in (False, True):
+                ids = np.array([i for i, (p, e) in enumerate(zip(parts, ends, strict=True)) if len(p) == length and e == end], np.int64)
+                if len(ids):
+                    h = _hashes(np.frombuffer(b"".join(parts[i] for i in ids), np.uint8).reshape(-1, length))
+                    order = np.argsort(h)
+                    self.tables[length, end] = (h[order], ids[order])
 
     def _find(self, length: int, end: bool, h: np.ndarray) -> np.ndarray:
-        """The piece of each substring hash, or -1."""
-        ranks, ids = self.tables[end]
-        return ids[np.minimum(ranks(self._key(length, h).ravel()), len(ids) - 1)].reshape(h.shape)
+        got = self.tables.get((length, end))
+        if got is None:
+            return np.full(h.shape, -1, np.int64)
+        at = np.minimum(np.searchsorted(got[0], h), len(got[0]) - 1)
+        return np.where(got[0][at] == h, got[1][at], -1)
 
     def _edges(self, words: np.ndarray) -> list[np.ndarray]:
         """For each piece length, the piece (or -1) that starts at each position of each word."""
@@ -120,7 +103,11 @@ class Lattice:
         alpha = np.full((m, n + 1), -np.inf)
         alpha[:, 0] = 0
         for j in range(1, n + 1):
-            alpha[:, j] = _log_sum([alpha[:, j - k] + scores[k - 1][:, j - k] for k in range(1, min(j, len(edges)) + 1)])
+            terms = np.stack([alpha[:, j - k] + scores[k - 1][:, j - k] for k in range(1, min(j, len(edges)) + 1)], axis=1)
+            top = terms.max(1)
+            safe = np.where(np.isfinite(top), top, 0)
+            with np.errstate(divide="ignore"):
+                alpha[:, j] = np.log(np.exp(terms - safe[:, None]).sum(1)) + safe
         return alpha, scores
 
     def _groups(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -151,12 +138,16 @@ class Lattice:
             beta = np.full(alpha.shape, -np.inf)
             beta[:, n] = 0
             for i in range(n - 1, -1, -1):
-                beta[:, i] = _log_sum([beta[:, i + k] + scores[k - 1][:, i] for k in range(1, min(n - i, len(edges)) + 1)])
+                terms = np.stack([beta[:, i + k] + scores[k - 1][:, i] for k in range(1, min(n - i, len(edges)) + 1)], axis=1)
+                top = terms.max(1)
+                safe = np.where(np.isfinite(top), top, 0)
+                with np.errstate(divide="ignore"):
+                    beta[:, i] = np.log(np.exp(terms - safe[:, None]).sum(1)) + safe
             for k, (e, s) in enumerate(zip(edges, scores, strict=True), 1):
-                row, i = np.nonzero(e >= 0)
                 with np.errstate(invalid="ignore"):
-                    w = np.exp(alpha[row, i] + s[row, i] + beta[row, i + k] - alpha[row, n]) * counts[at[row]]
-                total += np.bincount(e[row, i], np.nan_to_num(w), self.size + 1)
+                    w = np.exp(alpha[:, : n + 1 - k] + s + beta[:, k:] - alpha[:, n :]) * counts[at][:, None]
+                hit = e >= 0
+                total += np.bincount(e[hit], np.nan_to_num(w[hit]), self.size + 1)
         return total[: self.size]
 
 
