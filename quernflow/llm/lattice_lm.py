@@ -31,8 +31,10 @@ from .wordbpe import byte_letters
 HEAD, ROUNDS, ADDED = 131_072, 2, 0.05
 _TABLE = str.maketrans("\t\n\x0b\x0c\r" + UPPER, "     " + LOWER)
 _BASE = np.uint64(0x100000001B3)
-#: Cells of a lattice handled together.
-CELLS = 1_500_000
+#: Cells of a lattice handled together, and words gathered from Arrow batches before they are spelled.
+CELLS, WORDS = 200_000, 32_768
+#: Bits of the filter that comes before a piece table, and the multiplier that spreads a hash over it.
+_FILTER, _SPREAD = 17, np.uint64(0x9E3779B97F4A7C15)
 
 
 def pieces(path: str) -> tuple[list[bytes], list[bool]]:
@@ -50,15 +52,27 @@ def pieces(path: str) -> tuple[list[bytes], list[bool]]:
     return out, last
 
 
-def _hashes(rows: np.ndarray) -> np.ndarray:
-    h = np.zeros(rows.shape[0], np.uint64)
-    for c in rows.T:
-        h = h * _BASE + c.astype(np.uint64) + np.uint64(1)
-    return h
+def _step(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return h * _BASE + (c.astype(np.uint64) + np.uint64(1))
+
+
+def _spots(h: np.ndarray) -> np.ndarray:
+    return (h * _SPREAD >> np.uint64(64 - _FILTER)).astype(np.int64)
+
+
+def _log_sum(terms: np.ndarray) -> np.ndarray:
+    """Logarithm of the sum of exponentials over the first axis."""
+    top = terms.max(0)
+    safe = np.where(top > -np.inf, top, 0)
+    terms -= safe
+    with np.errstate(divide="ignore"):
+        return np.log(np.exp(terms, out=terms).sum(0)) + safe
 
 
 class Lattice:
-    """Sums over all segmentations of words into pieces."""
+    """Sums over all segmentations of words into pieces. Arrays have a row for each position and a column for each
+    word, so that every sum runs over whole rows. Pieces of one and two bytes are found in direct tables; longer ones in
+    sorted tables of hashes, behind a small filter that turns most of the misses away."""
 
     def __init__(self, path: str, log_p: np.ndarray | None = None):
         parts, ends = pieces(path)
@@ -67,51 +81,66 @@ class Lattice:
             weight = 1.0 / np.arange(1, self.size + 1)
             log_p = np.log(weight / weight.sum())
         self.log_p = log_p
+        self.scores = np.append(log_p, -np.inf)  # the last is of no piece
         self.longest = max(map(len, parts))
         self.tables = {}
-        for length in range(1, self.longest + 1):
-            for end in (False, True):
-                ids = np.array([i for i, (p, e) in enumerate(zip(parts, ends, strict=True)) if len(p) == length and e == end], np.int64)
-                if len(ids):
-                    h = _hashes(np.frombuffer(b"".join(parts[i] for i in ids), np.uint8).reshape(-1, length))
-                    order = np.argsort(h)
-                    self.tables[length, end] = (h[order], ids[order])
-
-    def _find(self, length: int, end: bool, h: np.ndarray) -> np.ndarray:
+        grouped: dict[tuple[int, bool], list[int]] = {}
+        for i, (p, e) in enumerate(zip(parts, ends, strict=True)):
+            grouped.setdefault((len(p), e), []).append(i)
+        for (length, end), found in grouped.items():
+            ids = np.array(found, np.int32)
+            rows = np.frombuffer(b"".join(parts[i] for i in found), np.uint8).reshape(-1, length).T
+            if length <= 2:
+                direct = np.full(256**length, -1, np.int32)
+                direct[rows[0] if length == 1 else rows[0].astype(np.int64) * 256 + rows[1]] = ids
+                self.tables[length, end] = direct
+            elif length:
+                h = np.zeros(len(ids), np.uint64)
+                for c in rows:
+                    h = _step(h, c)
+                order = np.argsort(h)
+                seen = np.zeros(1 << _FILTER, bool)
+                seen[_spots(h)] = True
+                self.tables[length, end] = (h[order], ids[order], seen)
+
+    def _find(self, length: int, end: bool, key: np.ndarray, out: np.ndarray) -> None:
+        """Write the pieces with these keys (bytes' codes up to two bytes, then hashes) to `out`, -1 for none."""
         got = self.tables.get((length, end))
         if got is None:
-            return np.full(h.shape, -1, np.int64)
-        at = np.minimum(np.searchsorted(got[0], h), len(got[0]) - 1)
-        return np.where(got[0][at] == h, got[1][at], -1)
+            out[...] = -1
+        elif length <= 2:
+            np.take(got, key, out=out)
+        else:
+            hashes, ids, seen = got
+            out[...] = -1
+            maybe = np.nonzero(seen[_spots(key)])
+            h = key[maybe]
+            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            out[maybe] = np.where(hashes[at] == h, ids[at], -1)
 
     def _edges(self, words: np.ndarray) -> list[np.ndarray]:
         """For each piece length, the piece (or -1) that starts at each position of each word."""
-        m, n = words.shape
-        h, out = np.zeros((m, n), np.uint64), []
+        n, m = words.shape
+        h, out = np.zeros((n, m), np.uint64), []
         for length in range(1, min(n, self.longest) + 1):
-            h = h[:, : n - length + 1] * _BASE + words[:, length - 1 :].astype(np.uint64) + np.uint64(1)
-            found = np.empty(h.shape, np.int64)
-            found[:, :-1] = self._find(length, False, h[:, :-1])
-            found[:, -1] = self._find(length, True, h[:, -1])
+            h = _step(h[: n - length + 1], words[length - 1 :])
+            key = words if length == 1 else words[:-1].astype(np.int64) * 256 + words[1:] if length == 2 else h
+            found = np.empty(h.shape, np.int32)
+            self._find(length, False, key[:-1], found[:-1])
+            self._find(length, True, key[-1], found[-1])
             out.append(found)
         return out
 
     def _forward(self, edges: list[np.ndarray], n: int) -> tuple[np.ndarray, list[np.ndarray]]:
-        m = edges[0].shape[0]
-        lp = np.append(self.log_p, -np.inf)
-        scores = [lp[e] for e in edges]
-        alpha = np.full((m, n + 1), -np.inf)
-        alpha[:, 0] = 0
+        scores = [self.scores[e] for e in edges]
+        alpha = np.full((n + 1, edges[0].shape[1]), -np.inf)
+        alpha[0] = 0
         for j in range(1, n + 1):
-            terms = np.stack([alpha[:, j - k] + scores[k - 1][:, j - k] for k in range(1, min(j, len(edges)) + 1)], axis=1)
-            top = terms.max(1)
-            safe = np.where(np.isfinite(top), top, 0)
-            with np.errstate(divide="ignore"):
-                alpha[:, j] = np.log(np.exp(terms - safe[:, None]).sum(1)) + safe
+            alpha[j] = _log_sum(np.stack([alpha[j - k] + scores[k - 1][j - k] for k in range(1, min(j, len(edges)) + 1)]))
         return alpha, scores
 
     def _groups(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Positions and byte matrix of words of one length, so many at a time."""
+        """Positions and bytes (a column for each word) of words of one length, so many at a time."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(sizes, kind="stable")
         for n in np.unique(sizes).tolist():
@@ -119,36 +148,55 @@ class Lattice:
             step = max(1, CELLS // (n * min(n, self.longest)))
             for a in range(0, len(same), step):
                 at = same[a : a + step]
-                yield at, np.frombuffer(b"".join([words[i] for i in at.tolist()]), np.uint8).reshape(-1, n)
+                yield at, np.ascontiguousarray(np.frombuffer(b"".join([words[i] for i in at.tolist()]), np.uint8).reshape(-1, n).T)
 
     def log_probability(self, words: list[bytes]) -> np.ndarray:
         """Natural logarithm of each word's probability over all segmentations."""
         out = np.zeros(len(words))
         for at, rows in self._groups(words):
-            out[at] = self._forward(self._edges(rows), rows.shape[1])[0][:, -1]
+            out[at] = self._forward(self._edges(rows), len(rows))[0][-1]
         return out
 
     def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
         """Expected counts of the pieces, over all segmentations of the words, weighted by the words' counts."""
-        total = np.zeros(self.size + 1)
+        total = np.zeros(self.size)
+        ids, weights, gathered = [], [], 0
         for at, rows in self._groups(words):
-            n = rows.shape[1]
+            n = len(rows)
             edges = self._edges(rows)
             alpha, scores = self._forward(edges, n)
             beta = np.full(alpha.shape, -np.inf)
-            beta[:, n] = 0
+            beta[n] = 0
             for i in range(n - 1, -1, -1):
-                terms = np.stack([beta[:, i + k] + scores[k - 1][:, i] for k in range(1, min(n - i, len(edges)) + 1)], axis=1)
-                top = terms.max(1)
-                safe = np.where(np.isfinite(top), top, 0)
-                with np.errstate(divide="ignore"):
-                    beta[:, i] = np.log(np.exp(terms - safe[:, None]).sum(1)) + safe
+                beta[i] = _log_sum(np.stack([beta[i + k] + scores[k - 1][i] for k in range(1, min(n - i, len(edges)) + 1)]))
+            whole = alpha[n]
+            with np.errstate(divide="ignore"):
+                share = np.where(whole > -np.inf, np.log(counts[at]) - np.where(whole > -np.inf, whole, 0), -np.inf)
+            alpha += share
             for k, (e, s) in enumerate(zip(edges, scores, strict=True), 1):
-                with np.errstate(invalid="ignore"):
-                    w = np.exp(alpha[:, : n + 1 - k] + s + beta[:, k:] - alpha[:, n :]) * counts[at][:, None]
-                hit = e >= 0
-                total += np.bincount(e[hit], np.nan_to_num(w[hit]), self.size + 1)
-        return total[: self.size]
+                hit = np.flatnonzero(e >= 0)
+                ids.append(e.ravel()[hit])
+                weights.append(np.exp(alpha.ravel()[hit] + s.ravel()[hit] + beta[k:].ravel()[hit]))
+                gathered += len(hit)
+            if gathered > 4 * CELLS:
+                total += np.bincount(np.concatenate(ids), np.concatenate(weights), self.size)
+                ids, weights, gathered = [], [], 0
+        if gathered:
+            total += np.bincount(np.concatenate(ids), np.concatenate(weights), self.size)
+        return total
+
+
+def in_bulk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches in batches of WORDS rows: words are short, and a lattice of many at once costs less."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= WORDS or batch.nbytes > 1 << 20:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.concat_batches(held)
 
 
 def word_counts(docs: DataFrame, text: str, train: str) -> DataFrame:
@@ -168,7 +216,7 @@ def fit_pieces(words: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lattice = Lattice(path, now)  # noqa: B023
             total = np.zeros(lattice.size)
-            for batch in batches:
+            for batch in in_bulk(batches):
                 total += lattice.expected([w.encode() for w in batch.column(0).to_pylist()], batch.column(1).to_numpy().astype(float))
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["piece", "n"])
@@ -200,7 +248,7 @@ def score_documents(docs: DataFrame, path: str, *, head: int = HEAD, rounds: int
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(path, log_p)
-        for batch in batches:
+        for batch in in_bulk(batches):
             s = lattice.log_probability([w.encode() for w in batch.column(0).to_pylist()]) / math.log(10) + go_on
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s)], names=["word", "c", "score"])
 

@@ -236,6 +236,16 @@ def test_lattice():
     assert (got * [len(x) for x in parts]).sum() == pytest.approx(sum((i + 1) * len(w) for i, w in enumerate(words)))
 
 
+def test_bulk_batches_keep_all_rows():
+    import pyarrow as pa
+
+    sizes = [0, 1500, 40_000, 7, 1500, 0]
+    batches = [pa.RecordBatch.from_arrays([pa.array([f"{k}-{i}" for i in range(n)], pa.string())], names=["word"]) for k, n in enumerate(sizes)]
+    out = list(lattice_lm.in_bulk(iter(batches)))
+    assert [x for b in out for x in b.column(0).to_pylist()] == [x for b in batches for x in b.column(0).to_pylist()]
+    assert len(out) == 2 and list(lattice_lm.in_bulk(iter([]))) == []
+
+
 def test_score_cases(spark):
     rows = [(1, None, 0), (2, "", 0), (3, "A b\x0bc", 0), (None, "a", 0), (3, "A b\x0bc", 0)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, score int")
