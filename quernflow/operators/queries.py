@@ -12,9 +12,10 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..jobs import Job, Task, Validation, run_job
 from ..plans.engine import execute
 from ..session import dialect_session
-from ..sources.inputs import read_csv
+from ..sources.inputs import InputFile, read_csv
 from ..sources.sinks import OutputFile, write_output
 from ..temporal import TemporalVariables
 
@@ -252,6 +253,29 @@ def templated_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return execute(spark, sql, _tables(spark, sf_dir, "events"), "strict")
 
 
+def pipeline_dag_marts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job of staging and mart tasks with a validation; the last mart is read back from the job's output."""
+    out = tempfile.mkdtemp(prefix="quernflow-job-")
+    job = Job(
+        inputs=tuple(InputFile(t, f"{sf_dir}/{t}.parquet") for t in ("orders", "customer")),
+        tasks=(
+            Task("segments", "SELECT c_mktsegment, COUNT(*) AS n_customers, SUM(n_orders) AS n_orders, MAX(largest) AS largest FROM customers GROUP BY c_mktsegment", output=OutputFile(f"{out}/segments", "parquet")),
+            Task(
+                "customers",
+                "SELECT c.c_custkey, c.c_mktsegment, COUNT(*) AS n_orders, MAX(o.o_totalprice) AS largest FROM stg_orders o JOIN stg_customers c ON o.o_custkey = c.c_custkey GROUP BY 1, 2",
+                validations=(Validation("has_orders", "SELECT c_custkey FROM customers WHERE n_orders < 1"),),
+            ),
+            Task("stg_orders", "SELECT o_custkey, o_totalprice FROM orders WHERE o_orderstatus <> 'P'"),
+            Task("stg_customers", "SELECT c_custkey, c_mktsegment FROM customer"),
+        ),
+        mode="strict",
+    )
+    result = run_job(spark, job)
+    if not result.succeeded:
+        raise RuntimeError(result.error or "; ".join(f"{t.name}: {t.status} {t.error}" for t in result.tasks if t.error))
+    return spark.read.parquet(f"file://{out}/segments")
+
+
 def api_group_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same operators by the DataFrame API: the largest order of each customer."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
@@ -263,6 +287,11 @@ _MORE = {
     "csv_roundtrip": (csv_roundtrip, "SELECT * FROM nation"),
     "parquet_roundtrip": (parquet_roundtrip, "SELECT * FROM supplier"),
     "templated_dates": (templated_dates, "SELECT event_id, '20251202' AS a, '2026-01-01T05:30:20' AS b, '16' AS c FROM events"),
+    "pipeline_dag_marts": (
+        pipeline_dag_marts,
+        "WITH customers AS (SELECT c_custkey, c_mktsegment, COUNT(*) AS n_orders, MAX(o_totalprice) AS largest FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'P' GROUP BY 1, 2) "
+        "SELECT c_mktsegment, COUNT(*) AS n_customers, CAST(SUM(n_orders) AS BIGINT) AS n_orders, MAX(largest) AS largest FROM customers GROUP BY c_mktsegment",
+    ),
     "api_group_window": (api_group_window, "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r = 1"),
 }
 
