@@ -1,15 +1,17 @@
 """Operator 9: language-model scoring by subword lattice likelihood.
 
 An existing subword vocabulary spells every word in many ways. Its pieces carry unigram probabilities: they start from
-the vocabulary's own order and are re-estimated on the training documents by expectation maximisation over all
-segmentations. A word's probability is the sum over all segmentations, taken by the forward recursion in log space; a
-document's is the product over its words and its end. Word counts of the whole corpus are gathered in one aggregation;
-every distinct word is scored once, and documents meet the scores by a broadcast of the frequent words (a bounded
-number) and a join for all others. A plain word unigram with add-half smoothing stands beside it as the base score.
+the vocabulary's own order and are re-estimated on the distinct training words by expectation maximisation over all
+segmentations. The sum over all of them is taken by the forward recursion in log space. A training word is one more arc
+over its whole lattice, weighted by its count less a discount (from the numbers of words seen once and twice); what the
+discount frees is shared out by the pieces' sum, so the probabilities of all words add up to one. A document's is the
+product over its words and its end. Word counts of the whole corpus are gathered in one aggregation; every distinct
+word is scored once, and documents meet the scores by a broadcast of the frequent words (a bounded number) and a join
+for all others. A plain word unigram with add-half smoothing stands beside it as the base score.
 
 Defined cases: null and empty texts are the end token alone; a null doc_id counts as a training document; repeated rows
-are scored and counted each; without training documents the base counts are zero and the pieces keep their first
-probabilities; an empty table gives no rows; extra columns are ignored.
+are scored and counted each; without training words the base counts are zero, the pieces keep their first
+probabilities and alone give the score; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import json
 import math
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -205,9 +208,33 @@ def word_counts(docs: DataFrame, text: str, train: str) -> DataFrame:
     return docs.select(words, F.col(train).cast("int").alias("one")).groupBy("word").agg(F.sum("one").cast("bigint").alias("c"))
 
 
+@dataclass(frozen=True)
+class WordArcs:
+    """What a lattice's whole-word arcs need besides the word's own count: the training words, the distinct ones, and
+    how many were seen once and twice."""
+
+    total: int
+    distinct: int
+    once: int
+    twice: int
+
+    @property
+    def discount(self) -> float:
+        return (self.once + 0.5) / (self.once + 2 * self.twice + 1)
+
+    def join(self, counts: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+        """Natural logarithms of words' probabilities, from their counts and the sums over their pieces."""
+        if not self.total:
+            return spelled
+        with np.errstate(divide="ignore"):
+            own = np.log(np.maximum(counts - self.discount, 0) / self.total)
+        return np.logaddexp(own, math.log(self.discount * self.distinct / self.total) + spelled)
+
+
 def fit_pieces(words: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndarray:
-    """Logarithms of the pieces' probabilities after re-estimation. As many numbers as the vocabulary has pieces come
-    to the driver in each round."""
+    """Logarithms of the pieces' probabilities after re-estimation. Every distinct training word counts once: frequent
+    ones have their own arcs, the pieces are for words not seen before. As many numbers as the vocabulary has pieces
+    come to the driver in each round."""
     log_p = Lattice(path).log_p
     trained = words.where("c > 0")
     for _ in range(rounds):
@@ -217,11 +244,11 @@ def fit_pieces(words: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndarray:
             lattice = Lattice(path, now)  # noqa: B023
             total = np.zeros(lattice.size)
             for batch in in_bulk(batches):
-                total += lattice.expected([w.encode() for w in batch.column(0).to_pylist()], batch.column(1).to_numpy().astype(float))
+                total += lattice.expected([w.encode() for w in batch.column(0).to_pylist()], np.ones(batch.num_rows))
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["piece", "n"])
 
-        got = trained.select("word", "c").mapInArrow(run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+        got = trained.select("word").mapInArrow(run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
         if not got:
             break
         counts = np.full(len(log_p), ADDED)
@@ -239,9 +266,10 @@ def score_documents(docs: DataFrame, path: str, *, head: int = HEAD, rounds: int
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), held.alias("held_out"))
     counts = stored(word_counts(rows.withColumn("train", ~F.col("held_out")), "text", "train"), "lm-words")
     n_docs = rows.where("not held_out").count()
-    got = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
+    got = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), *[F.count(F.when(x, 1)).alias(k) for k, x in (("v", F.col("c") > 0), ("once", F.col("c") == 1), ("twice", F.col("c") == 2))]).first()
     total, distinct = got.n + n_docs, got.v + (n_docs > 0)
     under = total + 0.5 * (distinct + 1)
+    arcs = WordArcs(got.n, got.v, got.once, got.twice)
     log_p = fit_pieces(counts, path, rounds)
     p_end = (n_docs + 0.5) / (total + 1.0)
     go_on = math.log10(1 - p_end)
@@ -249,8 +277,8 @@ def score_documents(docs: DataFrame, path: str, *, head: int = HEAD, rounds: int
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(path, log_p)
         for batch in in_bulk(batches):
-            s = lattice.log_probability([w.encode() for w in batch.column(0).to_pylist()]) / math.log(10) + go_on
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s)], names=["word", "c", "score"])
+            s = arcs.join(batch.column(1).to_numpy(), lattice.log_probability([w.encode() for w in batch.column(0).to_pylist()]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s / math.log(10) + go_on)], names=["word", "c", "score"])
 
     spelled = counts.select("word", "c").mapInArrow(spell, "word string, c bigint, score double")
     base = F.log10((F.col("c") + 0.5) / F.lit(under))

@@ -215,6 +215,14 @@ def test_scores(spark, sf_dir):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(c), sum(x > 0 for x in c), total)
         assert r.base_score == pytest.approx(sum(math.log10((x + 0.5) / (total + 0.5 * (distinct + 1))) for x in c))
         assert r.held_out == (r.doc_id not in train) and r.score < 0
+    lattice = lattice_lm.Lattice(queries.vocabulary(), lattice_lm.fit_pieces(spark.createDataFrame([(w, c) for w, c in counts.items()], "word string, c bigint"), queries.vocabulary()))
+    each = Counter(counts.values())
+    d, n, v = (each[1] + 0.5) / (each[1] + 2 * each[2] + 1), sum(counts.values()), len(counts)
+    p_end = (len(train) + 0.5) / (total + 1)
+    for r in whole[::10]:
+        spelled = np.exp(lattice.log_probability([w.encode() for w in words[r.doc_id]]))
+        want = [math.log10(max(counts[w] - d, 0) / n + d * v / n * s) + math.log10(1 - p_end) for w, s in zip(words[r.doc_id], spelled, strict=True)]
+        assert r.score == pytest.approx(sum(want) + math.log10(p_end))
     some = {r.doc_id: r.score for r in lattice_lm.score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), queries.vocabulary(), head=50).collect()}
     assert all(some[r.doc_id] == pytest.approx(r.score) for r in whole)  # broadcast and join agree
 
@@ -236,6 +244,15 @@ def test_lattice():
     assert (got * [len(x) for x in parts]).sum() == pytest.approx(sum((i + 1) * len(w) for i, w in enumerate(words)))
 
 
+def test_whole_word_arcs():
+    counts = np.array([3, 2, 1, 1, 0])
+    arcs = lattice_lm.WordArcs(7, 4, 2, 1)
+    spelled = np.log([0.1, 0.2, 0.3, 0.15, 0.25])
+    assert np.exp(arcs.join(counts, spelled)).sum() == pytest.approx(1)
+    assert lattice_lm.WordArcs(0, 0, 0, 0).join(counts * 0, spelled).tolist() == spelled.tolist()
+    assert np.isfinite(lattice_lm.WordArcs(4, 2, 0, 2).join(np.array([2, 2, 0]), spelled[:3])).all()
+
+
 def test_bulk_batches_keep_all_rows():
     import pyarrow as pa
 
