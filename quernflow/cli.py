@@ -5,7 +5,6 @@ from __future__ import annotations
 import argparse
 import json
 from datetime import datetime
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +15,7 @@ from .plans.engine import Catalog
 from .session import build_session
 from .sources.inputs import InputFile, expand, read_csv, read_input
 from .sources.sinks import OutputFile, write_output
+from .sources.store import Place
 
 
 def interactive_catalog(spark: SparkSession, directory: str, output: str | None = None) -> Catalog:
@@ -27,9 +27,9 @@ def interactive_catalog(spark: SparkSession, directory: str, output: str | None
         except Exception as e:  # noqa: BLE001
             print(f"input {i.view}: {e}")
     for t in job.tasks:
-        runs = [r for r in records.history(t.output.path) if r["status"] in ("Succeeded", "ValidationFailed")]
+        runs = [r for r in records.history(catalog.spark, t.output.path) if r["status"] in ("Succeeded", "ValidationFailed")]
         if runs:
-            files = [str(Path(runs[0]["directory"]) / f) for f in runs[0]["outputFiles"]]
+            files = [f"{runs[0]['directory']}/{f}" for f in runs[0]["outputFiles"]]
             df = read_csv(catalog.spark, files, t.output.options) if runs[0]["format"] == "csv" else catalog.spark.read.parquet(*files)
             catalog.register(t.view, df)
     return catalog
@@ -44,7 +44,7 @@ def persist_result(df: DataFrame, out: OutputFile) -> list[str]:
     now = datetime.now(UTC)
     files = write_output(df, out)
     r = TaskResult("interactive query", SUCCEEDED, rows=df.count(), files=files, directory=out.path, enqueued=now, started=now, finished=datetime.now(UTC))
-    records.write_json(Path(out.path) / records.RECORD, records.task_record(r, now, out.format))
+    records.write_json(Place(df.sparkSession, out.path) / records.RECORD, records.task_record(r, now, out.format))
     return files
 
 
@@ -76,12 +76,12 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "init":
         new_project(a.job)
         return 0
+    spark = build_session()
     if a.command == "runs":
         for t in load_job(a.job, a.output).tasks:
-            for r in records.history(t.output.path):
+            for r in records.history(spark, t.output.path):
                 print(json.dumps({k: r[k] for k in ("taskName", "status", "rowsProduced", "writtenAt", "directory")}))
         return 0
-    spark = build_session()
     if a.command == "peek":
         peek(spark, a.path, a.rows)
     elif a.command == "sql":

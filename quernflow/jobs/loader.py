@@ -44,7 +44,7 @@ def load_job(directory: str, output: str | None = None, execution_time: datetime
     base = Path(directory)
     if not base.is_dir():
         raise FileNotFoundError(f"No job directory {directory}")
-    out = Path(output) if output else base / "output"
+    out = (output or str(base / "output")).rstrip("/")
     inputs = []
     for d in sorted(p for p in (base / "inputs").glob("*") if p.is_dir()):
         files = sorted(d.glob("*.json"))
@@ -62,11 +62,11 @@ def load_job(directory: str, output: str | None = None, execution_time: datetime
         most = spec.get("maxPartitions")
         if most is not None and (isinstance(most, bool) or not isinstance(most, int) or most < 1):
             raise ValueError(f"{d / 'output.json'}: maxPartitions must be a whole number, 1 at least")
-        path = out / d.name / spec["partitionBy"] if spec.get("partitionBy") else out / d.name
+        path = f"{out}/{d.name}/{spec['partitionBy']}" if spec.get("partitionBy") else f"{out}/{d.name}"
         checks = tuple(Validation(p.stem, sql_file=str(p)) for p in sorted((d / "validations").glob("*.sql")))
-        tasks.append(Task(d.name, sql_file=str(d / "main.sql"), output=OutputFile(str(path), spec.get("format", "csv"), _strings(spec.get("options") or {}), most), validations=checks))
+        tasks.append(Task(d.name, sql_file=str(d / "main.sql"), output=OutputFile(path, spec.get("format", "csv"), _strings(spec.get("options") or {}), most), validations=checks))
     at = TemporalVariables(execution_time) if execution_time else TemporalVariables()
-    return Job(tuple(inputs), tuple(tasks), at, str(out / "job.json"), mode)
+    return Job(tuple(inputs), tuple(tasks), at, f"{out}/job.json", mode)
 
 
 # editing a job directory

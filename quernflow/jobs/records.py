@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
-import os
 import re
 from datetime import UTC, datetime
-from pathlib import Path
+
+from pyspark.sql import SparkSession
 
 from ..sources.sinks import RECORD
+from ..sources.store import Place
 from .model import JobResult, TaskResult
 
 VERSION = 1
@@ -25,11 +26,8 @@ def slug(name: str) -> str:
     return re.sub(r"[^a-z0-9_-]+", "_", name.lower()).strip("_")
 
 
-def write_json(path: Path, data: dict) -> None:
-    path.parent.mkdir(parents=True, exist_ok=True)
-    aside = path.with_name(f".{path.name}.tmp")
-    aside.write_text(json.dumps(data, indent=2), encoding="utf-8")
-    os.replace(aside, path)
+def write_json(path: Place, data: dict) -> None:
+    path.write_text(json.dumps(data, indent=2))
 
 
 def task_record(r: TaskResult, at: datetime, fmt: str) -> dict:
@@ -56,38 +54,35 @@ def job_record(result: JobResult, at: datetime) -> dict:
     }
 
 
-def warnings(result: JobResult) -> list[str]:
+def warnings(spark: SparkSession, result: JobResult) -> list[str]:
     """Records, parts and samples that the results name but the file system lacks."""
     out = []
     for t in result.tasks:
         if t.directory:
+            there = {p.name for p in Place(spark, t.directory).children()}
             for name in (RECORD, *t.files, *(v.sample for v in t.validations if v.sample)):
-                if not (Path(t.directory) / name).is_file():
+                if name not in there:
                     out.append(f"{t.name}: {name} is missing in {t.directory}")
     return out
 
 
-def history(template: str, depth: int = 6) -> list[dict]:
-    """Records below an output path whose templates may stand for anything, newest first."""
+def history(spark: SparkSession, template: str, depth: int = 6) -> list[dict]:
+    """Records below an output path whose templates may stand for anything, newest first. The first template stands at
+    most `depth` names before the end."""
     pattern = re.sub(r"\{\{.*?\}\}", "*", template).rstrip("/")
-    parts = Path(pattern).parts
-    fixed = [p for p in parts[: next((i for i, p in enumerate(parts) if "*" in p), len(parts))]]
-    root, rest = Path(*fixed), parts[len(fixed) :]
-    if len(rest) > depth or not root.exists():
+    parts = pattern.split("/")
+    first = next((i for i, p in enumerate(parts) if "*" in p), len(parts))
+    if len(parts) - first > depth:
         return []
-    found = []
-    for d in root.glob("/".join(rest)) if rest else [root]:
-        record = d / RECORD
-        if record.is_file():
-            found.append(json.loads(record.read_text(encoding="utf-8")) | {"directory": str(d)})
+    found = [json.loads(p.read_text()) | {"directory": str(p.parent)} for p in Place(spark, f"{pattern}/{RECORD}").matching()]
     return sorted(found, key=lambda r: r.get("writtenAt") or "", reverse=True)
 
 
-def layout(directory: str) -> tuple[str, list[Path]]:
+def layout(spark: SparkSession, directory: str) -> tuple[str, list[str]]:
     """What a job output directory holds: one run, several (newest first) or nothing."""
-    root = Path(directory)
+    root = Place(spark, directory)
     if (root / "job.json").is_file():
-        return "single", [root]
-    runs = [p for p in root.iterdir() if (p / "job.json").is_file()] if root.is_dir() else []
-    runs.sort(key=lambda p: json.loads((p / "job.json").read_text(encoding="utf-8")).get("finishedAt") or "", reverse=True)
-    return ("multi", runs) if runs else ("empty", [])
+        return "single", [str(root)]
+    runs = [p for p in root.children() if (p / "job.json").is_file()]
+    runs.sort(key=lambda p: json.loads((p / "job.json").read_text()).get("finishedAt") or "", reverse=True)
+    return ("multi", [str(p) for p in runs]) if runs else ("empty", [])

@@ -8,7 +8,6 @@ import contextlib
 import queue
 from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, datetime
-from pathlib import Path
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from ..plans.engine import Catalog
 from ..sources.inputs import InputFile, read_csv, read_input
 from ..sources.sinks import OutputFile, clear_if_marked, csv_text, write_output
+from ..sources.store import Place
 from . import records
 from .dag import Node, build
 from .model import FAILED, INVALID, PENDING, SKIPPED, SUCCEEDED, Job, JobResult, TaskResult, ValidationResult
@@ -79,7 +79,7 @@ class _Run:
             r.status, r.error = FAILED, f"{type(e).__name__}: {e}"
             r.files = []
             if node.directory:
-                clear_if_marked(Path(node.directory))
+                clear_if_marked(Place(self.spark, node.directory))
         r.finished = _now()
         self.events.put(("task", node.index, None))
 
@@ -93,7 +93,7 @@ class _Run:
             r.files = write_output(df.observe(seen, F.count(F.lit(1)).alias("n")), out)
             r.rows = int(seen.get["n"])
             if consumers or node.checks:
-                paths = [str(Path(node.directory) / f) for f in r.files]
+                paths = [f"{node.directory.rstrip('/')}/{f}" for f in r.files]
                 again = read_csv(self.spark, paths, out.options, schema) if out.format == "csv" else self.spark.read.schema(schema).parquet(*paths)
                 if task.view:
                     self.catalog.replace(task.view, again)
@@ -116,7 +116,7 @@ class _Run:
             if node.directory:
                 sample = f"_validation-{records.slug(name)}.csv"
                 rows = csv_text(bad.limit(SAMPLE)).toPandas()
-                rows.to_csv(Path(node.directory) / sample, index=False)
+                (Place(self.spark, node.directory) / sample).write_text(rows.to_csv(index=False))
             return ValidationResult(name, False, n, sample)
         finally:
             bad.unpersist()
@@ -167,8 +167,8 @@ class _Run:
     def settle(self, node: Node, r: TaskResult) -> None:
         if node.directory:
             if r.status in (SKIPPED, FAILED):
-                clear_if_marked(Path(node.directory))
-            records.write_json(Path(node.directory) / records.RECORD, records.task_record(r, self.job.at.execution_time, node.task.output.format))
+                clear_if_marked(Place(self.spark, node.directory))
+            records.write_json(Place(self.spark, node.directory) / records.RECORD, records.task_record(r, self.job.at.execution_time, node.task.output.format))
         self.tell("task_finished", r)
 
 
@@ -187,7 +187,7 @@ def run_job(spark: SparkSession, job: Job, listener: Listener | None = None) ->
         for df in run.cached:
             df.unpersist()
     result.finished = _now()
-    result.warnings = records.warnings(result)
+    result.warnings = records.warnings(run.spark, result)
     if job.record_path:
-        records.write_json(Path(job.at.render(job.record_path)), records.job_record(result, job.at.execution_time))
+        records.write_json(Place(run.spark, job.at.render(job.record_path)), records.job_record(result, job.at.execution_time))
     return result

@@ -5,7 +5,6 @@ spells them out."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from datetime import UTC, datetime
 
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..jobs import Job, Task, Validation, run_job
 from ..plans.engine import execute
-from ..session import dialect_session
+from ..session import dialect_session, shared_path
 from ..sources.inputs import InputFile, read_csv
 from ..sources.sinks import OutputFile, write_output
 from ..temporal import TemporalVariables
@@ -234,16 +233,16 @@ def _sql_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nation through the CSV sink and back."""
     df = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    out = tempfile.mkdtemp(prefix="quernflow-csv-")
+    out = shared_path(spark, "csv")
     files = write_output(df, OutputFile(out, "csv"))
-    return read_csv(spark, [f"file://{out}/{f}" for f in files], schema=df.schema)
+    return read_csv(spark, [f"{out}/{f}" for f in files], schema=df.schema)
 
 
 def parquet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/supplier.parquet")
-    out = tempfile.mkdtemp(prefix="quernflow-parquet-")
+    out = shared_path(spark, "parquet")
     write_output(df, OutputFile(out, "parquet", max_partitions=2))
-    return spark.read.parquet(f"file://{out}")
+    return spark.read.parquet(out)
 
 
 def templated_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,7 +254,7 @@ def templated_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pipeline_dag_marts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A job of staging and mart tasks with a validation; the last mart is read back from the job's output."""
-    out = tempfile.mkdtemp(prefix="quernflow-job-")
+    out = shared_path(spark, "job")
     job = Job(
         inputs=tuple(InputFile(t, f"{sf_dir}/{t}.parquet") for t in ("orders", "customer")),
         tasks=(
@@ -273,7 +272,7 @@ def pipeline_dag_marts(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = run_job(spark, job)
     if not result.succeeded:
         raise RuntimeError(result.error or "; ".join(f"{t.name}: {t.status} {t.error}" for t in result.tasks if t.error))
-    return spark.read.parquet(f"file://{out}/segments")
+    return spark.read.parquet(f"{out}/segments")
 
 
 def api_group_window(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -33,3 +34,9 @@ def dialect_session(spark: SparkSession) -> SparkSession:
     for k, v in DIALECT.items():
         session.conf.set(k, v)
     return session
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the folder that driver and executors share, spark.checkpoint.dir; below /tmp where it is unset."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/quernflow-shared"
+    return f"{root.rstrip('/')}/quernflow/{label}-{uuid.uuid4().hex}"

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import shutil
 import uuid
 from dataclasses import dataclass, field
-from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .inputs import csv_settings, reject_cloud
+from .store import Place
 
 RECORD = "_run.json"
 #: The compression names of the Parquet option.
@@ -34,16 +33,16 @@ class OutputFile:
             raise ValueError(f"Unsupported output format '{self.format}': use csv or parquet")
 
 
-def clear_if_marked(directory: Path) -> bool:
+def clear_if_marked(directory: Place) -> bool:
     """Empty an output directory that holds a run record: its files only, the record first. Sub-directories stay, and
     directories without a record are left alone."""
     record = directory / RECORD
     if not record.is_file():
         return False
-    record.unlink()
-    for p in directory.iterdir():
+    record.delete()
+    for p in directory.children():
         if p.is_file():
-            p.unlink()
+            p.delete()
     return True
 
 
@@ -66,7 +65,7 @@ def write_output(df: DataFrame, out: OutputFile) -> list[str]:
     """Write part-00000 and so on; the names of the files. Rows are staged in a hidden sibling first: a failed write
     leaves the directory as it was. The number of parts is never raised, only capped."""
     reject_cloud(out.path)
-    target = Path(out.path)
+    target = Place(df.sparkSession, out.path)
     stage = target / f".staging-{uuid.uuid4().hex}"
     capped = df.coalesce(out.max_partitions) if out.max_partitions else df
     try:
@@ -86,9 +85,9 @@ def write_output(df: DataFrame, out: OutputFile) -> list[str]:
             writer.parquet(str(stage))
         clear_if_marked(target)
         names = []
-        for i, part in enumerate(sorted(p for p in stage.iterdir() if p.name.startswith("part-"))):
+        for i, part in enumerate(p for p in stage.children() if p.name.startswith("part-")):
             names.append(f"part-{i:05d}.{out.format}")
-            part.replace(target / names[-1])
+            part.move(target / names[-1])
         return names
     finally:
-        shutil.rmtree(stage, ignore_errors=True)
+        stage.delete()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import uuid
 from datetime import UTC, datetime
 from pathlib import Path
 
@@ -13,6 +14,7 @@ from quernflow.jobs import loader, records
 from quernflow.jobs.dag import DagError, build, table_names
 from quernflow.plans.engine import Catalog
 from quernflow.plans.parser import SqlError
+from quernflow.sources.store import Place
 from quernflow.sources import InputFile, OutputFile, read_input, write_output
 from quernflow.temporal import TemplateError, TemporalVariables
 
@@ -152,12 +154,39 @@ def test_directory_job(spark, tmp_path, mode):
     record = json.loads((out / "_run.json").read_text())
     assert record["status"] == "Succeeded" and record["rowsProduced"] == 2 and record["outputFiles"] == ["part-00000.csv"]
     assert json.loads((tmp_path / "job/output/job.json").read_text())["succeeded"]
-    assert len(records.history(str(tmp_path / "job/output/by_tier/day={{ today }}"))) == 1
-    assert records.layout(str(tmp_path / "job/output"))[0] == "single"
+    assert len(records.history(spark, str(tmp_path / "job/output/by_tier/day={{ today }}"))) == 1
+    assert records.layout(spark, str(tmp_path / "job/output"))[0] == "single"
     again = run_job(spark, load_job(base, execution_time=AT.execution_time, mode=mode))
     assert again.succeeded and not again.warnings
 
 
+def test_outputs_in_a_store_that_only_spark_reads(spark, tmp_path):
+    (tmp_path / "store").mkdir()
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.jobs.link./out", (tmp_path / "store").as_uri())
+    top = "viewfs://jobs/out/run"
+    for _ in range(2):
+        result = run_job(spark, load_job(make_job(tmp_path / uuid.uuid4().hex, bad=True), top, AT.execution_time))
+        assert {t.name: t.status for t in result.tasks} == {"enriched": "ValidationFailed", "by_tier": "Skipped", "example_summary": "Succeeded"}
+        assert not result.warnings
+    kept = sorted(p.name for p in (tmp_path / "store/run/enriched").iterdir() if not p.name.startswith("."))  # without the checksums of the store below
+    assert kept == ["_run.json", "_validation-no_null_tiers.csv", "part-00000.parquet"]
+    assert records.layout(spark, top) == ("single", [top]) and records.layout(spark, f"{top}/none") == ("empty", [])
+    found = records.history(spark, f"{top}/{{{{ x }}}}")
+    assert sorted(r["directory"] for r in found) == [f"{top}/enriched", f"{top}/example_summary"]
+
+
+def test_places(spark, tmp_path):
+    place = Place(spark, str(tmp_path)) / "a" / "b.txt"
+    assert not place.exists() and not place.is_file() and place.parent.children() == []
+    place.write_text("één\n")
+    place.write_text("twee é\n")
+    assert place.read_text() == "twee é\n" == (tmp_path / "a/b.txt").read_text()
+    assert [p.name for p in place.parent.children()] == ["b.txt"] and (Place(spark, f"{tmp_path}/*/b.*")).matching()[0].path == str(place)
+    place.move(Place(spark, f"{tmp_path}/c/d"))
+    place.delete()
+    assert (tmp_path / "c/d").is_file() and Place(spark, f"{tmp_path}/c").is_dir()
+
+
 def test_failed_validation_skips(spark, tmp_path):
     result = run_job(spark, load_job(make_job(tmp_path, bad=True), execution_time=AT.execution_time))
     status = {t.name: t.status for t in result.tasks}
