@@ -1,4 +1,4 @@
-"""Command line: run and inspect jobs, query views, look into Parquet files."""
+"""Command line: run and inspect jobs, edit their directories, query views, look into Parquet files."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .jobs import load_job, records, run_job
 from .jobs.dag import build, layers
-from .jobs.loader import new_project
+from .jobs.loader import delete, new_project, save_input, save_table, save_validation
 from .plans.engine import Catalog
 from .session import build_session
 from .sources.inputs import InputFile, expand, read_csv, read_input
@@ -55,6 +55,56 @@ def peek(spark: SparkSession, path: str, rows: int = 20) -> None:
     df.show(rows, truncate=80)
 
 
+def _pairs(given: list[str]) -> dict[str, str]:
+    """key=value arguments."""
+    bad = [x for x in given if "=" not in x]
+    if bad:
+        raise ValueError(f"'{bad[0]}' is not key=value")
+    return dict(x.split("=", 1) for x in given)
+
+
+def _add_editors(sub) -> None:
+    sub.add_parser("init").add_argument("job")
+    s = sub.add_parser("add-input")
+    for name in ("job", "view", "path"):
+        s.add_argument(name)
+    s.add_argument("--format", choices=("csv", "parquet"))
+    s.add_argument("--no-cache", action="store_true")
+    s.add_argument("--option", action="append", default=[])
+    s = sub.add_parser("add-table")
+    for name in ("job", "view", "query"):
+        s.add_argument(name)
+    s.add_argument("--format", choices=("csv", "parquet"), default="csv")
+    s.add_argument("--partition-by")
+    s.add_argument("--max-partitions", type=int)
+    s.add_argument("--option", action="append", default=[])
+    s = sub.add_parser("add-validation")
+    for name in ("job", "view", "name", "query"):
+        s.add_argument(name)
+    s = sub.add_parser("delete")
+    s.add_argument("job")
+    s.add_argument("kind", choices=("input", "table", "validation"))
+    s.add_argument("view")
+    s.add_argument("name", nargs="?")
+
+
+def _edit(a: argparse.Namespace) -> bool:
+    """Do what an editing command says; whether it was one. No session is started."""
+    if a.command == "init":
+        new_project(a.job)
+    elif a.command == "add-input":
+        save_input(a.job, a.view, {"path": a.path, "format": a.format, "cache": not a.no_cache, "options": _pairs(a.option)})
+    elif a.command == "add-table":
+        save_table(a.job, a.view, a.query, {"format": a.format, "partitionBy": a.partition_by, "maxPartitions": a.max_partitions, "options": _pairs(a.option)})
+    elif a.command == "add-validation":
+        save_validation(a.job, a.view, a.name, a.query)
+    elif a.command == "delete":
+        delete(a.job, a.kind, a.view, a.name)
+    else:
+        return False
+    return True
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="quernflow")
     sub = p.add_subparsers(dest="command", required=True)
@@ -71,10 +121,9 @@ def main(argv: list[str] | None = None) -> int:
     s = sub.add_parser("peek")
     s.add_argument("path")
     s.add_argument("--rows", type=int, default=20)
-    sub.add_parser("init").add_argument("job")
+    _add_editors(sub)
     a = p.parse_args(argv)
-    if a.command == "init":
-        new_project(a.job)
+    if _edit(a):
         return 0
     spark = build_session()
     if a.command == "runs":

@@ -9,11 +9,13 @@ from datetime import UTC, datetime
 from pathlib import Path
 
 import pytest
+from quernflow import cli
 from quernflow.jobs import Job, Task, Validation, load_job, run_job
 from quernflow.jobs import loader, records
 from quernflow.jobs.dag import DagError, build, table_names
 from quernflow.plans.engine import Catalog
 from quernflow.plans.parser import SqlError
+from quernflow.session import DIALECT
 from quernflow.sources.store import Place
 from quernflow.sources import InputFile, OutputFile, read_input, write_output
 from quernflow.temporal import TemplateError, TemporalVariables
@@ -175,6 +177,29 @@ def test_outputs_in_a_store_that_only_spark_reads(spark, tmp_path):
     assert sorted(r["directory"] for r in found) == [f"{top}/enriched", f"{top}/example_summary"]
 
 
+def test_command_line(spark, tmp_path, capsys):
+    before = {k: spark.conf.get(k) for k in DIALECT}
+    job = str(tmp_path / "job")
+    (tmp_path / "t.psv").write_text("k|v\n1|2\n1|3\n2|\n")
+    assert cli.main(["init", job]) == 0
+    assert cli.main(["add-input", job, "t", str(tmp_path / "t.psv"), "--option", "delimiter=|", "--no-cache"]) == 0
+    assert cli.main(["add-table", job, "sums", "SELECT k, SUM(v) AS s FROM t GROUP BY k", "--format", "parquet", "--max-partitions", "1"]) == 0
+    assert cli.main(["add-validation", job, "sums", "no nulls", "SELECT * FROM sums WHERE k IS NULL"]) == 0
+    assert json.loads((tmp_path / "job/inputs/t/input.json").read_text()) == {"path": str(tmp_path / "t.psv"), "cache": False, "options": {"delimiter": "|"}}
+    assert cli.main(["delete", job, "table", "example_summary"]) == 0
+    assert cli.main(["dag", job]) == 0 and "0 sums" in capsys.readouterr().out
+    assert cli.main(["run", job]) == 0
+    assert cli.main(["runs", job]) == 0 and '"rowsProduced": 2' in capsys.readouterr().out
+    assert cli.main(["sql", job, "SELECT SUM(s) AS total FROM sums", "--save", f"{job}/adhoc"]) == 0 and "5" in capsys.readouterr().out
+    assert (tmp_path / "job/adhoc/part-00000.csv").read_text() == "total\n5\n"
+    assert cli.main(["peek", f"{job}/output/sums"]) == 0 and "rows: 2" in capsys.readouterr().out
+    assert cli.main(["delete", job, "validation", "sums", "no nulls"]) == 0 and not list((tmp_path / "job/tables/sums/validations").iterdir())
+    with pytest.raises(ValueError, match="no view name"):
+        cli.main(["add-table", job, "1x", "SELECT 1"])
+    for k, v in before.items():  # the commands' session is this one
+        spark.conf.set(k, v)
+
+
 def test_places(spark, tmp_path):
     place = Place(spark, str(tmp_path)) / "a" / "b.txt"
     assert not place.exists() and not place.is_file() and place.parent.children() == []
