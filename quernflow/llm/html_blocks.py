@@ -14,11 +14,11 @@ from html import unescape
 BLOCK_TAGS = frozenset(
     "html head title body article section nav aside header footer main div p h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd "
     "table caption thead tbody tfoot tr td th form fieldset legend blockquote pre figure figcaption address details "
-    "summary dialog menu search hr noscript iframe select option optgroup textarea button label center template canvas "
+    "summary dialog menu search hr noscript iframe select option optgroup textarea button label center canvas "
     "object video audio svg math".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style xmp noembed noframes".split())
+RAW_TAGS = frozenset("script style template xmp noembed noframes".split())
 #: Open elements that a start tag closes.
 CLOSES = {
     **dict.fromkeys("article section nav aside header footer main div p h1 h2 h3 h4 h5 h6 ul ol dl table form blockquote pre figure address hr fieldset details menu center".split(), ("p",)),

@@ -24,7 +24,7 @@ from .crf import ChainCRF
 from .html_blocks import Block, leaf_blocks
 
 #: Pages of the generated training set.
-TRAINING_PAGES = 300
+TRAINING_PAGES = 600
 
 
 def features(blocks: list[Block]) -> list[list[str]]:
@@ -104,7 +104,7 @@ class _Writer:
             inner.append((r.choice(("&copy; ", "Copyright ", "")) + self.words(1, 30), 0))
         if kind in ("ad", "notice", "aside", "comments", "header") or not inner:
             for _ in range(r.randint(1, 4)):
-                tag = r.choice(("p", "div", "h3", "", "p", "span"))
+                tag = r.choice(("h1", "h1", "h2", "p", "div", "") if kind == "header" else ("p", "div", "h3", "", "p", "span"))
                 text = self.sentence(1, 40)
                 text = f'<a href="#">{text}</a>' if r.random() < 0.2 else text
                 inner += [(f"<{tag}>", -1), (text, 0), (f"</{tag}>", -1)] if tag else [(text, 0)]
@@ -152,8 +152,8 @@ class _Writer:
                 out += [(wrap[0] + f"<{tag}>", -1), (self.sentence(2, 40), 1), (f"</{tag}>" + wrap[1], -1)]
             else:
                 out += [("<div>", -1), (self.sentence(3, 50), 1), ("</div>", -1)]
-            if r.random() < 0.08:
-                out += self.part(r.choice(("ad", "share", "aside", "notice", "nav")))
+            if r.random() < 0.15:
+                out += self.part(r.choice(("ad", "share", "aside", "notice", "nav", "comments")))
             if r.random() < 0.03:
                 out += self.form()
         if r.random() < 0.2:

@@ -73,6 +73,20 @@ def test_pages(spark, sf_dir):
         assert r.text == "\n".join(b for b in blocks if b)
 
 
+def test_parts_that_are_not_the_article():
+    model = html_extract.default_model()
+    text = "Several of the towns in the north were flooded after a long night of rain, and more is on the way."
+    pages = (
+        f'<header><h1>Site name</h1></header><div class="cookie-notice"><p>{text}</p></div><article><h1>Title</h1><p>{text}</p></article>',
+        f'<div id="menu"><ul><li><a href="x">A</a></li></ul></div><div id="content"><h1>Title</h1><p>{text}</p></div><div id="sidebar"><p>{text}</p></div>',
+        f'<article><h1>Title</h1><p>{text}</p><section class="comments"><h3>2 comments</h3><p>{text}</p></section></article>',
+        f'<main><h1>Title</h1><form><label>Mail</label><button>Subscribe</button></form><p>{text}</p></main><div id="comments"><ul><li>{text}</li></ul></div>',
+        f'<article><h1>Title</h1><aside><p>{text}</p></aside><div class="advert">{text}</div><p>{text}</p></article><template><p>{text}</p></template>',
+    )
+    for page in pages:
+        assert html_extract.main_text(f"<html><body>{page}</body></html>", model) == f"Title\n{text}"
+
+
 # 2: search
 
 
