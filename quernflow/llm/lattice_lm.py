@@ -36,6 +36,8 @@ _TABLE = str.maketrans("\t\n\x0b\x0c\r" + UPPER, "     " + LOWER)
 _BASE = np.uint64(0x100000001B3)
 #: Cells of a lattice handled together, and words gathered from Arrow batches before they are spelled.
 CELLS, WORDS = 200_000, 32_768
+#: Bytes above which a word's lattice is built and summed in stretches of as many positions.
+LONG = 4096
 #: Bits of the filter that comes before a piece table, and the multiplier that spreads a hash over it.
 _FILTER, _SPREAD = 17, np.uint64(0x9E3779B97F4A7C15)
 
@@ -121,19 +123,62 @@ class Lattice:
             at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
             out[maybe] = np.where(hashes[at] == h, ids[at], -1)
 
-    def _edges(self, words: np.ndarray) -> list[np.ndarray]:
-        """For each piece length, the piece (or -1) that starts at each position of each word."""
+    def _edges(self, words: np.ndarray, a: int = 0, b: int | None = None) -> list[np.ndarray]:
+        """For each piece length, the piece (or -1) that starts at each position from a to b of each word."""
         n, m = words.shape
-        h, out = np.zeros((n, m), np.uint64), []
-        for length in range(1, min(n, self.longest) + 1):
-            h = _step(h[: n - length + 1], words[length - 1 :])
-            key = words if length == 1 else words[:-1].astype(np.int64) * 256 + words[1:] if length == 2 else h
+        b = n if b is None else b
+        part = words[a : b + self.longest]
+        h, out = np.zeros((b - a, m), np.uint64), []
+        for length in range(1, min(n - a, self.longest) + 1):
+            starts = min(b, n - length + 1) - a
+            h = _step(h[:starts], part[length - 1 : length - 1 + starts])
+            key = part[:starts] if length == 1 else part[:starts].astype(np.int64) * 256 + part[1 : starts + 1] if length == 2 else h
             found = np.empty(h.shape, np.int32)
-            self._find(length, False, key[:-1], found[:-1])
-            self._find(length, True, key[-1], found[-1])
+            inner = starts - 1 if a + starts + length - 1 == n else starts  # the last one may end the word
+            self._find(length, False, key[:inner], found[:inner])
+            if inner < starts:
+                self._find(length, True, key[-1], found[-1])
             out.append(found)
         return out
 
+    def _stretch(self, rows: np.ndarray, a: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces and scores of a long word's positions from a on: a row for each position, a column for each length."""
+        b = min(len(rows), a + LONG)
+        edges = self._edges(rows, a, b)
+        ids = np.full((b - a, len(edges)), self.size, np.int64)
+        for k, e in enumerate(edges):
+            ids[: len(e), k] = np.where(e[:, 0] < 0, self.size, e[:, 0])
+        return ids, self.scores[ids]
+
+    def _long_forward(self, rows: np.ndarray) -> np.ndarray:
+        """The forward sums of one long word; what is held besides grows with LONG, not with the word."""
+        n = len(rows)
+        alpha = np.full(n + 1, -np.inf)
+        alpha[0] = 0
+        for a in range(0, n, LONG):
+            for j, s in enumerate(self._stretch(rows, a)[1], a):
+                reach = alpha[j + 1 : j + 1 + len(s)]
+                np.logaddexp(reach, alpha[j] + s[: len(reach)], out=reach)
+        return alpha
+
+    def _long_expected(self, rows: np.ndarray, count: float) -> np.ndarray:
+        """Expected counts of the pieces of one long word."""
+        n, total = len(rows), np.zeros(self.size + 1)
+        alpha, beta = self._long_forward(rows), np.full(n + 1, -np.inf)
+        if alpha[n] == -np.inf:  # no segmentation
+            return total[:-1]
+        beta[n] = 0
+        for a in range((n - 1) // LONG * LONG, -1, -LONG):
+            ids, scores = self._stretch(rows, a)
+            for j in range(a + len(ids) - 1, a - 1, -1):
+                reach = beta[j + 1 : j + 1 + ids.shape[1]]
+                beta[j] = np.logaddexp.reduce(reach + scores[j - a, : len(reach)])
+            for k in range(ids.shape[1]):
+                m = min(len(ids), n - a - k)
+                share = alpha[a : a + m] + scores[:m, k] + beta[a + k + 1 : a + k + 1 + m] - alpha[n]
+                total += np.bincount(ids[:m, k], np.exp(share), self.size + 1)
+        return total[:-1] * count
+
     def _forward(self, edges: list[np.ndarray], n: int) -> tuple[np.ndarray, list[np.ndarray]]:
         scores = [self.scores[e] for e in edges]
         alpha = np.full((n + 1, edges[0].shape[1]), -np.inf)
@@ -148,7 +193,7 @@ class Lattice:
         order = np.argsort(sizes, kind="stable")
         for n in np.unique(sizes).tolist():
             same = order[np.searchsorted(sizes[order], n) : np.searchsorted(sizes[order], n, "right")]
-            step = max(1, CELLS // (n * min(n, self.longest)))
+            step = 1 if n > LONG else max(1, CELLS // (n * min(n, self.longest)))
             for a in range(0, len(same), step):
                 at = same[a : a + step]
                 yield at, np.ascontiguousarray(np.frombuffer(b"".join([words[i] for i in at.tolist()]), np.uint8).reshape(-1, n).T)
@@ -157,7 +202,7 @@ class Lattice:
         """Natural logarithm of each word's probability over all segmentations."""
         out = np.zeros(len(words))
         for at, rows in self._groups(words):
-            out[at] = self._forward(self._edges(rows), len(rows))[0][-1]
+            out[at] = self._long_forward(rows)[-1] if len(rows) > LONG else self._forward(self._edges(rows), len(rows))[0][-1]
         return out
 
     def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
@@ -166,6 +211,9 @@ class Lattice:
         ids, weights, gathered = [], [], 0
         for at, rows in self._groups(words):
             n = len(rows)
+            if n > LONG:  # one word
+                total += self._long_expected(rows, counts[at[0]])
+                continue
             edges = self._edges(rows)
             alpha, scores = self._forward(edges, n)
             beta = np.full(alpha.shape, -np.inf)

@@ -258,6 +258,17 @@ def test_lattice():
     assert (got * [len(x) for x in parts]).sum() == pytest.approx(sum((i + 1) * len(w) for i, w in enumerate(words)))
 
 
+@pytest.mark.parametrize("size", [3, 7, 40])
+def test_long_words_in_stretches(monkeypatch, size):
+    lattice = lattice_lm.Lattice(queries.vocabulary())
+    words = ["".join(chr(97 + i * i * k % 26) for i in range(n)).encode() for k, n in ((3, 60), (5, 41), (7, 200), (1, 80))] + [b"thethethe" * 9, b"ethethe_1" * 9, "é".encode() * 50]
+    counts = np.arange(1.0, len(words) + 1)
+    want, whole = lattice.log_probability(words), lattice.expected(words, counts)
+    monkeypatch.setattr(lattice_lm, "LONG", size)
+    assert lattice.log_probability(words) == pytest.approx(want)
+    assert lattice.expected(words, counts) == pytest.approx(whole, abs=1e-9)
+
+
 def test_whole_word_arcs():
     counts = np.array([3, 2, 1, 1, 0])
     arcs = lattice_lm.WordArcs(7, 4, 2, 1)
