@@ -1,4 +1,4 @@
-"""The corpus pipeline: quality rules, line dedup, SimHash near-dedup, packing.
+"""The corpus pipeline: quality rules, line dedup, near-dedup, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
 """
@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernflow.llm import common, line_dedup, packing, quality_rules, simhash
+from quernflow.llm import common, line_dedup, packing, quality_rules
+from quernflow.llm import near_copies as near
 from quernflow.llm.queries import vocabulary
 
 
@@ -26,8 +27,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group of near copies: five-word shingles, Jaccard similarity of 0.8 or more."""
+    return near.drop_near_copies(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +36,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, vocabulary())
 
 
-STAGES = [("quality rules", quality), ("line dedup", lines), ("simhash near-dedup", near_copies), ("packing", pack)]
+STAGES = [("quality rules", quality), ("line dedup", lines), ("near-dedup", near_copies), ("packing", pack)]
 #: SQL can express neither the learned rules nor the vocabulary; the stages are tested against brute force.
 ORACLE_SQL = None
 
