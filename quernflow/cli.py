@@ -23,7 +23,7 @@ def interactive_catalog(spark: SparkSession, directory: str, output: str | None
     job, catalog = load_job(directory, output), Catalog(spark)
     for i in job.inputs:
         try:
-            catalog.register(i.view, read_input(catalog.spark, InputFile(i.view, job.at.render(i.path), i.format, dict(i.options))))
+            catalog.register(i.view, read_input(catalog.spark, InputFile(i.view, job.at.render(i.path), i.format, dict(i.options)), strict=job.mode == "strict"))
         except Exception as e:  # noqa: BLE001
             print(f"input {i.view}: {e}")
     for t in job.tasks:

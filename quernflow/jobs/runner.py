@@ -56,7 +56,7 @@ class _Run:
         error = None
         try:
             at = self.job.at
-            df = read_input(self.spark, InputFile(source.view, at.render(source.path), source.format, dict(source.options), source.cache))
+            df = read_input(self.spark, InputFile(source.view, at.render(source.path), source.format, dict(source.options), source.cache), strict=self.job.mode == "strict")
             if source.cache:
                 df = df.persist(StorageLevel.MEMORY_AND_DISK)
                 self.cached.append(df)

@@ -5,10 +5,11 @@ from __future__ import annotations
 import csv
 import io
 import re
+import warnings
 from dataclasses import dataclass, field
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -150,23 +151,65 @@ def _rows(text: str, s: dict, limit: int) -> list[list[str]]:
     return out
 
 
-def read_csv(spark: SparkSession, files: list[str], options: dict[str, str] | None = None, schema: T.StructType | None = None) -> DataFrame:
+def _cast(raw: Column, kind: T.DataType) -> Column:
+    """A value as a type of the ladder; NULL where it does not fit."""
+    form = {"int": r"^[+-]?[0-9]+$", "bigint": r"^[+-]?[0-9]+$", "boolean": "(?i)^(true|false)$", "date": "^[0-9]{4}-[0-9]{2}-[0-9]{2}$"}.get(kind.simpleString())
+    value = raw.try_cast(kind)
+    return F.when(raw.rlike(form), value) if form else value
+
+
+def _widened(rows: DataFrame, schema: T.StructType) -> T.StructType:
+    """`schema` with each column on the first step that takes all of its values, not the sampled ones only. One pass."""
+    wider = {"int": _STEPS[1:3], "bigint": _STEPS[2:3], "date": _STEPS[5:6]}
+    tests = {}
+    for i, f in enumerate(schema):
+        if f.dataType != T.StringType():
+            for k, kind in enumerate((f.dataType, *wider.get(f.dataType.simpleString(), ()))):
+                raw = F.col(f"_{i}")
+                tests[i, k] = kind, F.coalesce(F.bool_and(raw.isNull() | _cast(raw, kind).isNotNull()), F.lit(True)).alias(f"_{i}_{k}")
+    if not tests:
+        return schema
+    fits = dict(zip(tests, rows.agg(*[c for _, c in tests.values()]).first(), strict=True))
+    out = []
+    for i, f in enumerate(schema):
+        kinds = [kind for (j, k), (kind, _) in tests.items() if j == i and fits[j, k]]
+        out.append(T.StructField(f.name, kinds[0] if kinds else T.StringType()))
+        if out[-1].dataType != f.dataType:
+            warnings.warn(f"column {f.name}: values after the sample do not fit {f.dataType.simpleString()}, read as {out[-1].dataType.simpleString()}", stacklevel=4)
+    return T.StructType(out)
+
+
+def read_csv(spark: SparkSession, files: list[str], options: dict[str, str] | None = None, schema: T.StructType | None = None, strict: bool = False) -> DataFrame:
     """CSV by RFC 4180: doubled quotes, embedded separators and line breaks; short rows end in NULLs. Without a schema,
-    types come from the first file."""
+    types come from the first file's sample. A later value that does not fit its type fails the read if `strict` (or
+    mode=FAILFAST); otherwise its column's type is widened over all files, so no value is lost."""
     s = csv_settings(options or {})
+    given = schema
     if schema is None:
         if (options or {}).get("inferSchema", "true").lower() not in _TRUE:
             raise ValueError("inferSchema=false needs a schema")
         schema = infer_csv(spark, files[0], s)
-    reader = spark.read.schema(schema).options(
+    texts = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(schema))])
+    reader = spark.read.schema(texts if given is None else given).options(
         header=s["header"], sep=s["sep"], quote=s["quote"], escape=s["escape"], nullValue=s["null"], encoding=s["encoding"],
         multiLine=True, enforceSchema=True, mode="FAILFAST" if s["strict"] else "PERMISSIVE",
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     )
-    return reader.csv(files)
-
-
-def read_input(spark: SparkSession, source: InputFile, schema: T.StructType | None = None) -> DataFrame:
+    rows = reader.csv(files)
+    if given is not None:
+        return rows
+    strict = strict or s["strict"]
+    columns = []
+    for i, f in enumerate(schema if strict else _widened(rows, schema)):
+        raw, value = F.col(f"_{i}"), _cast(F.col(f"_{i}"), f.dataType)
+        if strict and f.dataType != T.StringType():
+            wrong = F.raise_error(F.concat(F.lit(f"column {f.name}: not of type {f.dataType.simpleString()}: "), raw)).cast(f.dataType)
+            value = F.when(raw.isNull() | value.isNotNull(), value).otherwise(wrong)
+        columns.append(value.alias(f.name))
+    return rows.select(*columns)
+
+
+def read_input(spark: SparkSession, source: InputFile, schema: T.StructType | None = None, strict: bool = False) -> DataFrame:
     """The rows of an input. Parquet keeps the first file's schema, column pruning and pushed filters are Spark's."""
     files = expand(spark, source.path)
     if source.resolved_format(source.path) == "parquet":
@@ -174,4 +217,4 @@ def read_input(spark: SparkSession, source: InputFile, schema: T.StructType | No
         if size:
             spark.conf.set("spark.sql.files.maxPartitionBytes", size)
         return spark.read.parquet(*files)
-    return read_csv(spark, files, source.options, schema)
+    return read_csv(spark, files, source.options, schema, strict)
