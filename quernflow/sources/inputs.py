@@ -6,6 +6,7 @@ import csv
 import io
 import re
 import warnings
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from datetime import date, datetime
 
@@ -15,8 +16,6 @@ from pyspark.sql import types as T
 
 #: Rows of the first file that CSV types are inferred from.
 SAMPLE_ROWS = 1000
-#: Bytes of the first file that are read for these rows at most.
-SAMPLE_BYTES = 8_000_000
 _TRUE = frozenset(("true", "1", "yes"))
 #: The type ladder: a column stands on the first step that takes all of its sampled values.
 _INT = re.compile(r"[+-]?\d+")
@@ -128,10 +127,31 @@ def csv_settings(options: dict[str, str]) -> dict:
     }
 
 
+class _Bytes(io.RawIOBase):
+    """A file's bytes through Hadoop's file system, read as far as they are asked for."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        self.stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(target)
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        got = self.stream.readNBytes(len(buffer))
+        buffer[: len(got)] = got
+        return len(got)
+
+    def close(self) -> None:
+        if not self.closed:
+            self.stream.close()
+        super().close()
+
+
 def infer_csv(spark: SparkSession, first: str, s: dict) -> T.StructType:
-    """Column names and types from the head of the first file."""
-    head = spark.read.format("binaryFile").load(first).select(F.substring("content", 1, SAMPLE_BYTES).alias("c")).first().c
-    rows = [r for r in _rows(bytes(head).decode(s["encoding"], "ignore"), s, SAMPLE_ROWS + 1) if r]
+    """Column names and types from the first whole rows of the first file, however long they are."""
+    with io.TextIOWrapper(io.BufferedReader(_Bytes(spark, first), 1 << 20), s["encoding"], "replace", newline="") as text:
+        rows = _rows(text, s, SAMPLE_ROWS + s["header"])
     if not rows:
         return T.StructType()
     names = rows.pop(0) if s["header"] else [f"_c{i}" for i in range(max(map(len, rows)))]
@@ -139,9 +159,10 @@ def infer_csv(spark: SparkSession, first: str, s: dict) -> T.StructType:
     return T.StructType([T.StructField(n, infer_column(c)) for n, c in zip(names, columns, strict=True)])
 
 
-def _rows(text: str, s: dict, limit: int) -> list[list[str]]:
+def _rows(text: Iterable[str], s: dict, limit: int) -> list[list[str]]:
     double = s["escape"] == s["quote"]
-    reader = csv.reader(io.StringIO(text, newline=""), delimiter=s["sep"], quotechar=s["quote"], doublequote=double, escapechar=None if double else s["escape"])
+    csv.field_size_limit((1 << 31) - 1)  # Python's own limit is 128 KB a value
+    reader = csv.reader(text, delimiter=s["sep"], quotechar=s["quote"], doublequote=double, escapechar=None if double else s["escape"])
     out = []
     for row in reader:
         if row and row != [""]:  # blank rows are skipped

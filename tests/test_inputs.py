@@ -31,3 +31,13 @@ def test_strict_fails_on_values_after_the_sample(spark, late, tmp_path):
             df.select(c).collect()
     (tmp_path / "short.csv").write_text("a,b\n1,2\n3\n")
     assert [tuple(r) for r in read_input(spark, InputFile("v", str(tmp_path / "short.csv")), strict=True).collect()] == [(1, 2), (3, None)]
+
+
+def test_sample_of_long_rows(spark, tmp_path):
+    """1,000 whole rows are sampled, although they have more than eight million bytes and long values."""
+    p = tmp_path / "long.csv"
+    rows = [f"{i},2026-01-01,{'x' * 12_000}" for i in range(990)]
+    p.write_text("i,day,s\n" + "\n".join([*rows, f'991,2026-01-02,"{"y\n" * 100_000}"', "2.5,2026-01-03,z"]) + "\n")
+    df = read_input(spark, InputFile("v", str(p)), strict=True)
+    assert [t for _, t in df.dtypes] == ["double", "date", "string"]
+    assert df.where("i = 2.5").count() == 1
