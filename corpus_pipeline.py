@@ -37,7 +37,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("near-dedup", near_copies), ("packing", pack)]
-#: SQL can express neither the learned rules nor the vocabulary; the stages are tested against brute force.
+#: SQL can express neither the learned rules nor the vocabulary; the stages are tested against brute force (tests/llm/test_pipeline_stages.py).
 ORACLE_SQL = None
 
 
