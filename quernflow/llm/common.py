@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: Rows per Arrow batch handed to Python: whole texts can be long, so batches stay small.
 ARROW_ROWS = 1500
+#: Folders of stored tables that are still in use, by the table's identity.
+_PATHS: dict[int, tuple] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,11 +37,13 @@ def lower_ascii(col: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset and all runs in one
+    process (master local) a folder below /tmp stands in; on a cluster the setting is needed."""
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not got:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         got = "file:///tmp/quernflow-checkpoints"
-        spark.sparkContext.setCheckpointDir(got)
     return got.rstrip("/")
 
 
@@ -46,19 +52,36 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/quernflow/{label}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Cut lineage: write `df` to the shared folder and read it back, so that lost executors cost no recomputation."""
+    """Cut lineage: write `df` to the shared folder and read it back, so that lost executors cost no recomputation. The
+    folder goes when the driver ends; `discard` removes it before."""
     spark = df.sparkSession
     path = work_path(spark, label)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    files, target = _file_system(spark, path)
+    files.deleteOnExit(target)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (weakref.ref(out, lambda _, k=id(out): _PATHS.pop(k, None)), path)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the folders of tables that `stored` gave and that nothing reads any more."""
+    for table in tables:
+        got = _PATHS.pop(id(table), None)
+        if got:
+            drop_path(table.sparkSession, got[1])
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a work folder through Hadoop's file system."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    files, target = _file_system(spark, path)
+    files.delete(target, True)
 
 
 def partitions(spark: SparkSession) -> int:

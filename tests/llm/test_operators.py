@@ -196,22 +196,51 @@ def test_lines(spark):
     assert line_dedup.dedup_lines(df.limit(0))[0].count() == 0
 
 
-@pytest.mark.parametrize("cut", range(1, 12))
-def test_runs_over_tasks(cut):
-    """Runs that are cut anywhere between two tasks give the same marks once open runs are counted together."""
-    rows = [(h, 0, d, 0, p, 9) for h, docs in ((1, (9, 8, 7, 7, 5)), (2, (9, 4)), (3, (9, 8, 6, 5, 5))) for p, d in enumerate(docs)]
-    whole = {m[:5] for m in line_dedup.mark_sorted(iter(rows), 4) if not m[7]}
-    marks = [m for part in (rows[:cut], rows[cut:]) for m in line_dedup.mark_sorted(iter(part), 4)]
-    sure = {m[:5] for m in marks if not m[7]}
-    for key in {m[:2] for m in marks if m[7]}:
-        mine = [m for m in marks if m[7] and m[:2] == key]
-        docs = {}
+def decided(parts, min_docs, most, batch):
+    """The (hash, doc, pos) to drop, from the marks of each task's sorted rows."""
+    out, opened = set(), []
+    for rows in parts:
+        marks = line_dedup.Marks(min_docs, most)
+        found = []
+        for a in range(0, len(rows), batch):
+            found += marks.add([np.array(c) for c in zip(*rows[a : a + batch], strict=True)])
+        for b in [*found, *marks.end()]:
+            for m in b.to_pylist():
+                if m["open"]:
+                    opened.append(m)
+                else:
+                    assert (m["h1"], m["doc"], m["pos"]) not in out
+                    out.add((m["h1"], m["doc"], m["pos"]))
+    for key in {m["h1"] for m in opened}:
+        mine, docs = [m for m in opened if m["h1"] == key], {}
         for m in mine:
-            docs[m[2]] = max(docs.get(m[2], 0), m[6])
-        if sum(v or 1 for v in docs.values()) >= 4:
-            sure |= {m[:5] for m in mine if m[4] >= 0 and m[2] != max(docs)}
-    everything = {r[:5] for r in rows if r[0] in (1, 3) and r[2] != 9}
-    assert sure == everything and whole <= everything
+            docs[m["doc"]] = max(docs.get(m["doc"], 0), m["n_docs"])
+        if sum(v or 1 for v in docs.values()) >= min_docs:
+            out |= {(key, m["doc"], m["pos"]) for m in mine if m["pos"] >= 0 and m["doc"] != max(docs)}
+    return out
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_runs_over_tasks(seed):
+    """Runs that are cut anywhere between tasks and batches give the lines that a plain count gives."""
+    r = np.random.default_rng(seed)
+    rows = sorted({(int(r.integers(0, 6) ** 2 // 5), int(r.integers(0, 9)), int(r.integers(0, 5))) for _ in range(90)}, key=lambda x: (x[0], -x[1], x[2]))
+    full = [(h, 0, d, 0, p, 9) for h, d, p in rows]
+    cuts = [0, *sorted(r.integers(0, len(full), 3).tolist()), len(full)]
+    docs = {}
+    for h, d, _ in rows:
+        docs.setdefault(h, set()).add(d)
+    want = {x for x in rows if len(docs[x[0]]) >= 6 and x[1] != max(docs[x[0]])}
+    assert decided([full[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], 6, int(r.integers(1, 40)), int(r.integers(1, 50))) == want
+
+
+def test_lines_of_repeated_rows_and_clashing_names(spark):
+    line = "This line is long enough to be counted as a passage"
+    rows = [(i, f"{line}\n{i}\n{line}", 1, "x") for i in (1, 2, 3, 3, 4, 5)] + [(9, "\n".join([line] * 30_000), 1, "x")] + [(8, "\n".join([line] * 30_000), 1, "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, doc int, row string")
+    out, n_lines, n_dropped = line_dedup.dedup_lines(df)
+    got = sorted((r.doc_id, len(r.text), r[n_lines], r[n_dropped], r.doc, r.row) for r in out.collect())
+    assert got == [*((i, 1, 3, 2, 1, "x") for i in (1, 2, 3, 3, 4, 5)), (8, 0, 30_000, 30_000, 1, "x"), (9, len(rows[-1][1]), 30_000, 0, 1, "x")]
 
 
 # 9: language model
