@@ -100,17 +100,46 @@ def test_search_cases(spark):
     assert block_search.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_repeated_query_ids_and_clashing_names(spark):
+    r = np.random.default_rng(4)
+    rows = [(int(i), [float(x) for x in r.normal(size=4)], 1, "s", 2.0) for i in [100, 100, 100, 200, *range(1, 60), 7, 7]]
+    rows.append(rows[0])  # repeated whole
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, shard int, asked string, id double")
+    got = {}
+    for x in block_search.search(df, df.where("vec_id % 100 = 0"), k=10, shard=16).collect():
+        got.setdefault(x.query_id, []).append((x["rank"], x.vec_id, x.score))
+    mats = [(i, np.floor(1024 * np.array(v, np.float32).astype(float))) for i, v, *_ in rows]
+    want = {}
+    for i, q in mats:
+        if i % 100 == 0:
+            best = sorted((-int(q @ v), j) for j, v in mats if j != i)[:10]
+            want.setdefault(i, []).extend((n, j, -s) for n, (s, j) in enumerate(best, 1))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()} and len(got[100]) == 40
+
+
 def test_blocks_are_pruned():
     r = np.random.default_rng(0)
     rows = (r.normal(size=(4096, 8)) * 50 * (1 + np.arange(4096)[:, None] // 64 % 17)).astype(np.float64).round()
-    index = block_search.Shard(np.arange(4096), rows)
+    ids = r.permutation(4096)
     q = rows[:5]
-    for (ids, score), v, me in zip(index.search(np.arange(5), q, 10), q, range(5), strict=True):
-        full = rows @ v
-        full[me] = -np.inf
-        want = np.lexsort((np.arange(4096), -full))[:10]
-        assert ids.tolist() == want.tolist() and score.tolist() == full[want].tolist()
-    assert index.scored < 0.7 * 5 * 4096
+    for block in (2, 16, 64):
+        index = block_search.Shard(ids, rows, block)
+        for (got, score), v, me in zip(index.search(ids[:5], q, 10), q, range(5), strict=True):
+            full = rows @ v
+            full[me] = -np.inf
+            want = np.lexsort((ids, -full))[:10]
+            assert got.tolist() == ids[want].tolist() and score.tolist() == full[want].tolist()
+        assert index.scored < 0.7 * 5 * 4096
+
+
+def test_share_scored_on_the_table(duck):
+    """Vectors without structure: wide blocks prune nothing, narrow ones some."""
+    got = duck.sql("SELECT vec_id, embedding FROM '/root/testdata/sf0.1/embeddings.parquet' ORDER BY vec_id").fetchall()
+    ids, rows = np.array([i for i, _ in got]), np.floor(1024 * np.array([v for _, v in got], float))
+    own = np.flatnonzero(ids % 100 == 0)
+    share = {b: block_search.scored_share(ids, rows, ids[own], rows[own], block=b) for b in (2, 4, 16, 64)}
+    print("share scored by block size:", share)
+    assert share[block_search.BLOCK] < 0.9 and share[64] == 1
 
 
 # 3: quality
