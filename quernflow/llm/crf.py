@@ -19,7 +19,7 @@ class ChainCRF:
         self.weights, self.edges, self.begin, self.end = weights, edges, begin, end
 
     @classmethod
-    def train(cls, pages: Sequence[Sequence[Sequence[str]]], labels: Sequence[Sequence[int]], *, rounds: int = 150, rate: float = 0.4, ridge: float = 0.02) -> ChainCRF:
+    def train(cls, pages: Sequence[Sequence[Sequence[str]]], labels: Sequence[Sequence[int]], *, rounds: int = 150, rate: float = 0.4, ridge: float = 0.005) -> ChainCRF:
         """Maximum likelihood by adaptive gradient ascent, all pages at a time; `ridge` penalizes large weights."""
         names = sorted({f for page in pages for block in page for f in block})
         index = {f: i for i, f in enumerate(names)}
@@ -65,20 +65,26 @@ class ChainCRF:
                 x += rate * g / np.sqrt(s)
         return cls({name: (float(w[i, 0]), float(w[i, 1])) for name, i in index.items()}, edges, begin, end)
 
-    def decode(self, blocks: Sequence[Sequence[str]]) -> list[int]:
-        """The likeliest labels of a page's blocks, by Viterbi."""
+    def weight(self, names: Sequence[str]) -> tuple[float, float]:
+        """The summed weights of features, by label."""
+        w0 = w1 = 0.0
+        get = self.weights.get
+        for f in names:
+            got = get(f)
+            if got:
+                w0 += got[0]
+                w1 += got[1]
+        return w0, w1
+
+    def decode(self, blocks: Sequence[Sequence[str]], given: Sequence[tuple[float, float]] | None = None) -> list[int]:
+        """The likeliest labels of a page's blocks, by Viterbi. `given`: weights that blocks have besides their features."""
         if not blocks:
             return []
         (e00, e01), (e10, e11) = self.edges.tolist()
-        weights, back = self.weights, []
+        back = []
         s0, s1 = self.begin.tolist()
         for i, block in enumerate(blocks):
-            w0 = w1 = 0.0
-            for f in block:
-                got = weights.get(f)
-                if got:
-                    w0 += got[0]
-                    w1 += got[1]
+            w0, w1 = self.weight(block)
             if i:
                 a, b = s0 + e00, s1 + e10
                 c, d = s0 + e01, s1 + e11
@@ -86,6 +92,9 @@ class ChainCRF:
                 s0, s1 = max(a, b), max(c, d)
             s0 += w0
             s1 += w1
+            if given:
+                s0 += given[i][0]
+                s1 += given[i][1]
         label = int(s0 + self.end[0] < s1 + self.end[1])
         out = [label]
         for step in reversed(back):

@@ -6,7 +6,9 @@ writes block by block with their labels, over many layouts; a training set is a
 take its place. Training takes the driver a second; weights are a few thousand numbers and travel with the tasks.
 
 Defined cases: a null or empty page, and one without article blocks, has an empty text; broken markup gives the blocks
-that can be read; repeated rows each give a row; an empty table gives no rows; extra columns are ignored.
+that can be read, a page that ends inside a tag those before it; very long pages, deeply nested or full of tags that are
+never closed, take time in proportion to their length; a tie between two labellings goes to the one with fewer article
+blocks at its end; repeated rows each give a row; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,44 +23,67 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches
 from .crf import ChainCRF
-from .html_blocks import Block, leaf_blocks
+from .html_blocks import Block, Element, leaf_blocks
 
 #: Pages of the generated training set.
-TRAINING_PAGES = 600
+TRAINING_PAGES = 900
 
 
-def features(blocks: list[Block]) -> list[list[str]]:
-    """Feature names of each block of a page."""
+def _own(blocks: list[Block]) -> list[list[str]]:
+    """Each block's features besides those of its ancestors."""
     out = []
     n = len(blocks)
+    wrapper = ["none" if b.element is None else "article" if b.element.in_article else "main" if b.element.in_main else "none" for b in blocks]
+    best = min(wrapper, default="none")  # the page's closest one
     for i, b in enumerate(blocks):
-        tags = [t for t, _ in b.path]
-        got = {f"in:{t}" for t in tags}
-        got.update(f"word:{w}" for _, words in b.path for w in words)
-        got.add(f"leaf:{tags[-1] if tags else ''}")
-        got.add(f"pair:{'>'.join(tags[-2:])}")
-        if "article" in tags:
-            after = b.path[tags.index("article") + 1 :]
-            got.update(f"article>{t}" for t, _ in after)
-            got.update(f"article>word:{w}" for _, words in after for w in words)
-        elif "main" in tags:
-            got.add("main, no article")
-        else:
-            got.add("neither main nor article")
+        e = b.element
+        up = e.parent if e else None
+        leaf = e.tag if e else ""
+        got = [f"leaf:{leaf}", f"pair:{up.tag if up else ''}>{leaf}", f"wrapped: {wrapper[i]} of {best}"]
+        if wrapper[i] == "none":
+            got.append(f"bare {best}: {leaf if up is None or up.tag in ('body', 'html') else ''}")
+        if leaf in ("li", "dt", "dd") and up is not None and up.parent is not None:
+            got.append(f"list in {up.parent.tag}")
         size = len(b.text)
-        got.add(f"length:{0 if size < 25 else 1 if size < 80 else 2 if size < 250 else 3}")
-        got.add(f"linked:{int(b.linked * 3)}")
-        end = b.text[-1]
-        got.add("stop" if end in ".!?…:;”\"" else "no stop")
+        got.append(f"length:{0 if size < 25 else 1 if size < 80 else 2 if size < 250 else 3}")
+        got.append(f"linked:{int(b.linked * 3)}")
+        got.append("stop" if b.text[-1] in ".!?…:;”\"" else "no stop")
         if b.text[0] in "©®" or "copyright" in b.text[:40].lower():
-            got.add("rights")
+            got.append("rights")
         if "|" in b.text or "»" in b.text:
-            got.add("bars")
-        got.add("first" if i == 0 else "last" if i == n - 1 else "inner")
-        out.append(sorted(got))
+            got.append("bars")
+        got.append("first" if i == 0 else "last" if i == n - 1 else "inner")
+        out.append(got)
     return out
 
 
+def features(blocks: list[Block]) -> list[list[str]]:
+    """Feature names of each block of a page."""
+    out = []
+    for b, own in zip(blocks, _own(blocks), strict=True):
+        e = b.element
+        while e is not None:
+            own += e.adds
+            e = e.parent
+        out.append(sorted(own))
+    return out
+
+
+def labels_of(blocks: list[Block], model: ChainCRF) -> list[int]:
+    """The likeliest labels. What an element's ancestors weigh is summed once for all of its blocks."""
+    sums: dict[Element | None, tuple[float, float]] = {None: (0.0, 0.0)}
+    for b in blocks:
+        chain, e = [], b.element
+        while e not in sums:
+            chain.append(e)
+            e = e.parent
+        for e in reversed(chain):
+            a, c = sums[e.parent]
+            x, y = model.weight(e.adds)
+            sums[e] = (a + x, c + y)
+    return model.decode(_own(blocks), [sums[b.element] for b in blocks])
+
+
 class _Writer:
     """Writes labelled pages: layouts, names of page parts and texts are drawn, labels follow from the part."""
 
@@ -112,6 +137,10 @@ class _Writer:
                     break
                 if not tag:
                     break
+        if kind == "comments" and r.random() < 0.3:  # each one an article of its own
+            one = ('<article class="comment">', "</article>")
+            inner = [(one[0], -1), *inner, (one[1], -1), (one[0] + "<p>", -1), (self.sentence(1, 40), 0), ("</p>" + one[1], -1)]
+            mark = mark or f' class="{name}"'
         return [(f"<{own}{mark}>", -1), *inner, (f"</{own}>", -1)]
 
     def form(self) -> list[tuple[str, int]]:
@@ -142,9 +171,11 @@ class _Writer:
                 tag = r.choice(("h2", "h3", "h4"))
                 out += [(f"<{tag}>", -1), (self.words(1, 8), 1), (f"</{tag}>", -1)]
             elif kind < 0.9:
-                out.append((f"<{(own := r.choice(('ul', 'ol')))}>", -1))
+                own, linked = r.choice(("ul", "ol")), r.random() < 0.4
+                out.append((f"<{own}>", -1))
                 for _ in range(r.randint(1, 5)):
-                    out += [("<li>", -1), (self.sentence(1, 20), 1), ("</li>", -1)]
+                    item = f'<a href="/{r.randint(1, 99)}">{self.words(1, 6)}</a>' if linked else self.sentence(1, 20)
+                    out += [("<li>", -1), (item, 1), ("</li>", -1)]
                 out.append((f"</{own}>", -1))
             elif kind < 0.95:
                 tag = r.choice(("blockquote", "pre", "figcaption", "td", "dd"))
@@ -162,6 +193,8 @@ class _Writer:
 
     def page(self) -> list[tuple[str, int]]:
         r = self.r
+        if r.random() < 0.05:  # a fragment: nothing but the article's blocks, or text without markup
+            return self.body() if r.random() < 0.6 else [(self.sentence(), 1)]
         out = [("<html><head><title>", -1), (self.words(1, 12), 0), ("</title></head><body>", -1)]
         for kind in r.sample(("nav", "header", "ad", "notice", "share"), r.randint(0, 4)):
             out += self.part(kind)
@@ -173,6 +206,8 @@ class _Writer:
             wrap = ("<main>" + wrap[0], wrap[1] + "</main>") if r.random() < 0.3 else wrap
         elif layout < 0.75:
             wrap = ("<main>", "</main>")
+        elif layout < 0.85:  # the article stands in the body as it is
+            wrap = ("", "")
         else:
             wrap = (f'<div {r.choice(("id", "class"))}="{r.choice(self.CONTENT)}">', "</div>")
         out += [(wrap[0], -1), *self.body(), (wrap[1], -1)]
@@ -209,7 +244,7 @@ def fit(pages: list[tuple[str, list[int]]]) -> ChainCRF:
 def main_text(html: str | None, model: ChainCRF) -> str:
     """The article's blocks in page order, joined by line feeds."""
     blocks = leaf_blocks(html)
-    return "\n".join([b.text for b, y in zip(blocks, model.decode(features(blocks)), strict=True) if y])
+    return "\n".join([b.text for b, y in zip(blocks, labels_of(blocks, model), strict=True) if y])
 
 
 def extract(pages: DataFrame, model: ChainCRF | None = None, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -87,6 +87,57 @@ def test_parts_that_are_not_the_article():
         assert html_extract.main_text(f"<html><body>{page}</body></html>", model) == f"Title\n{text}"
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><h1>Title</h1><p>One para here.</p><!--><p>Second para.</p><!---><p>Third one.</p></article>", "Title\nOne para here.\nSecond para.\nThird one."),
+        ("<article><ul><li><a>One link item</a></li><li><a>Other link item</a></li></ul><p>Text of some length.</p></article>", "One link item\nOther link item\nText of some length."),
+        ("<p>Only para.</p>", "Only para."), ("<body><h1>Head</h1><p>Para.</p></body>", "Head\nPara."), ("plain text, no markup at all.", "plain text, no markup at all."),
+        ("<article><p>a <b c=\"x>y\">bold</b> text.</p><p title=it's>c &lt;d&gt;</p></article>", "a bold text.\nc <d>"), ("<article><p>Kept.</p><p>Lost <a href=\"", "Kept.\nLost"),
+        ("<article><p>3 < 4 and 5 > 4.</p></article>", "3 < 4 and 5 > 4."), ("<title>a <p> b</title><article><p>Text.<script>'</p>'</script></p></article>", "Text."),
+        ("<article><p>Text.</p><template><p>No.</p><template>no</template><p>No.</p></template><p>More.</p></article>", "Text.\nMore."),
+    ],
+)
+def test_markup(page, want):
+    assert html_extract.main_text(page, html_extract.default_model()) == want
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<a " * 1_600_000, "<div>" * 1_000_000 + "x", "<div><p>hello there." * 250_000, "</x>" * 1_000_000, '<a b="' * 800_000, "<!-- " * 1_000_000,
+        "<p><div>" + "<label>" * 300_000 + "<li>x" * 300_000, "".join(f'<div class="{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}">t' for i in range(200_000)),
+    ],
+    ids="unclosed nested paragraphs strays quotes comments walls classes".split(),
+)
+def test_hostile_pages_take_linear_time(page):
+    import time
+
+    model = html_extract.default_model()
+    began = time.process_time()
+    html_extract.main_text(page, model)
+    assert time.process_time() - began < 20
+
+
+def test_layouts():
+    """Held-out pages of each layout that come out without a wrong block."""
+    model, got = html_extract.default_model(), {}
+    for html, labels in html_extract.training_pages(400, seed=7):
+        kind = "article" if "<article>" in html or "<article class=" in html else "main" if "<main>" in html else "fragment" if "<html>" not in html else "other"
+        blocks = leaf_blocks(html)
+        right = html_extract.labels_of(blocks, model)
+        assert right == model.decode(html_extract.features(blocks))
+        got.setdefault(kind, []).append(right == labels)
+    print({k: f"{sum(v)} of {len(v)}" for k, v in got.items()})
+    assert all(np.mean(v) > 0.85 for v in got.values())
+
+
+def test_empty_and_repeated_pages(spark):
+    df = spark.createDataFrame([(1, "u", "<article><p>Text.</p></article>", "t", 3)] * 2, "page_id bigint, url string, html string, text string, n_chars int")
+    assert [tuple(r) for r in html_extract.extract(df).collect()] == [(1, "u", "Text.", 5)] * 2
+    assert html_extract.extract(df.limit(0)).count() == 0
+
+
 # 2: search
 
 
