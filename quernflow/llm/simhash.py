@@ -1,33 +1,38 @@
 """Operator 10: SimHash near-dedup with pivot distance tables.
 
 Fingerprints are 64-bit SimHashes of word shingles. Pairs within `radius` bits are sought among distinct fingerprints
-only. The bits are cut into `blocks`; two fingerprints within the radius agree on at least blocks - radius of them, so
-each choice of that many blocks is a table of buckets in which no link is lost. Within a bucket the table of Hamming
-distances to reference fingerprints (pivots) discards pairs: by the triangle inequality any coordinate that differs by
-more than the radius rules a pair out. Survivors are verified by their own distance. A bucket of more than `bucket`
-fingerprints is dealt over pairs of sub-buckets, so no task holds more than two of them and no pair goes missing. A
-bucket gives a spanning forest of its links, not all pairs; components come from contraction rounds in Spark.
-
-(Pivots alone leave a quadratic number of pairs, as distances between 64-bit strings concentrate; hence the buckets.)
-
-Defined cases: null, empty and wordless texts have fingerprint zero and are linked like any other; a null doc_id takes
-part and never names a component unless all ids in it are null; repeated rows each give a row; an empty table gives no
-rows; extra columns are ignored by `near_duplicates` and kept by `drop_near_duplicates`.
+only. A table holds each one's Hamming distances to reference fingerprints (pivots): by the triangle inequality a pair
+whose distances to any pivot differ by more than the radius is no link, so the maximum coordinate difference discards
+pairs and only the survivors' own distances are taken.
+
+All pairs would be too many for any table, and pivots cannot deal fingerprints to tasks: distances between 64-bit strings
+concentrate, so a pivot tells apart about half of the pairs, and cells of pivot distances overlap so much that halving
+them copies a third of the rows. Pairs are therefore formed in wide buckets first: the bits are cut into radius + 1
+blocks, and two fingerprints within the radius agree on one of them at least. A bucket of more than `bucket` fingerprints
+is cut again in the same way on its remaining bits, twice at most, and then dealt over pairs of sub-buckets, so no task
+holds more than two of them and no pair goes missing. A bucket gives a spanning forest of its links, not all pairs;
+components come from contraction rounds in Spark.
+
+Defined cases: null, empty and wordless texts have fingerprint zero and are linked like any other; very long texts are
+hashed whole, their bits counted in stretches; a bit set in exactly half of the shingles (a tie) is not set; a null
+doc_id takes part and never names a component unless all ids in it are null; repeated rows each give a row; an empty
+table gives no rows; extra columns are ignored by `near_duplicates` and kept by `drop_near_duplicates`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, bound_batches, fresh, partitions, stored
+from .common import LOWER, UPPER, bound_batches, discard, fresh, partitions, stored
 
-WORDS, RADIUS, BLOCKS, BUCKET, PIVOTS = 3, 3, 5, 4096, 24
+WORDS, RADIUS, BUCKET, PIVOTS = 3, 3, 4096, 24
+#: Times that crowded buckets are cut again.
+DEPTH = 2
 _BLANK = str.maketrans("\t\n\x0b\x0c\r" + UPPER, "     " + LOWER)
 
 
@@ -61,10 +66,21 @@ def fingerprints(docs: DataFrame, *, words: int = WORDS, id_col: str = "doc_id",
     return rows.mapInArrow(run, "doc_id bigint, row bigint, fp bigint")
 
 
-def _masks(blocks: int, radius: int) -> list[int]:
-    edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
-    parts = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
-    return [sum(c) for c in combinations(parts, blocks - radius)]
+def _masks(parts: int, depth: int) -> list[list[int]]:
+    """By level, the bits on which a bucket's fingerprints agree: a mask's own bits and one part of those left."""
+    levels = [[0]]
+    for _ in range(depth + 1):
+        out = []
+        for m in levels[-1]:
+            left = [b for b in range(64) if not m >> b & 1]
+            edges = [round(i * len(left) / parts) for i in range(parts + 1)]
+            out += [m | sum(1 << b for b in left[i:j]) for i, j in zip(edges, edges[1:], strict=False)]
+        levels.append(out)
+    return levels[1:]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def _pivots(n: int) -> np.ndarray:
@@ -75,10 +91,11 @@ def _pivots(n: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def forest(group: np.ndarray, fp: np.ndarray, radius: int, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forest(group: np.ndarray, fp: np.ndarray, radius: int, pivots: np.ndarray, counts: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links within groups (equal neighbours in `group`): each row that is not a root, with
     its root. Rows are compared at growing distance in their group, all groups together; pairs that are already
-    connected are passed over."""
+    connected are passed over. `counts` gathers the pairs before the pivots, after them, and within the radius."""
+    seen = [0, 0, 0] if counts is None else counts
     table = np.bitwise_count(fp[:, None] ^ pivots[None, :]).astype(np.int8)
     root = np.arange(len(fp))
     ends = np.searchsorted(group, group, "right")
@@ -90,13 +107,16 @@ def forest(group: np.ndarray, fp: np.ndarray, radius: int, pivots: np.ndarray) -
         a, b = live, live + step
         apart = root[a] != root[b]
         a, b = a[apart], b[apart]
+        seen[0] += len(a)
         for p in range(len(pivots)):
             near = np.abs(table[a, p] - table[b, p]) <= radius
             a, b = a[near], b[near]
-            if len(a) < 64:
+            if not len(a):
                 break
+        seen[1] += len(a)
         near = np.bitwise_count(fp[a] ^ fp[b]) <= radius
         a, b = a[near], b[near]
+        seen[2] += len(a)
         while len(a):
             x, y = root[a], root[b]
             open_ = x != y
@@ -113,18 +133,36 @@ def forest(group: np.ndarray, fp: np.ndarray, radius: int, pivots: np.ndarray) -
     return child, root[child]
 
 
-def links(prints: DataFrame, *, radius: int = RADIUS, blocks: int = BLOCKS, bucket: int = BUCKET, pivots: int = PIVOTS) -> DataFrame:
+def buckets(prints: DataFrame, radius: int, bucket: int) -> DataFrame:
+    """g, fp: the fingerprints (column fp) of each group whose pairs are to be compared."""
+    levels = _masks(radius + 1, DEPTH)
+    rows, out = prints.select(F.lit(0).alias("t"), F.lit(0).cast("bigint").alias("bits"), "fp"), None
+    for level, masks in enumerate(levels):
+        finer = F.array(*[F.array(*[F.lit(_signed(m)) for m in masks[i : i + radius + 1]]) for i in range(0, len(masks), radius + 1)])
+        each = rows.select("t", "fp", F.posexplode(F.get(finer, F.col("t"))).alias("i", "mask"))
+        rows = each.select((F.col("t") * (radius + 1) + F.col("i")).alias("t"), F.col("fp").bitwiseAND(F.col("mask")).alias("bits"), "fp")
+        full = stored(rows.groupBy("t", "bits").count().where(F.col("count") > bucket), "crowded")
+        crowded = bool(full.take(1))
+        last = level == len(levels) - 1
+        if last or not crowded:
+            m = F.ceil(F.col("count") / bucket).cast("int")
+            rows = rows.join(full, ["t", "bits"], "left") if crowded else rows.withColumn("count", F.lit(None).cast("bigint"))
+            dealt = rows.withColumn("m", F.coalesce(m, F.lit(1))).withColumn("i", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
+            # sub-bucket i meets every j: both sides of a pair of sub-buckets carry the same (smaller, larger)
+            spread = dealt.select("t", "bits", "fp", "i", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"))
+            done = spread.select(F.xxhash64(F.lit(level), "t", "bits", F.least("i", "j"), F.greatest("i", "j")).alias("g"), "fp")
+            return done if out is None else out.unionByName(done)
+        small = rows.join(full, ["t", "bits"], "left_anti").select(F.xxhash64(F.lit(level), "t", "bits").alias("g"), "fp")
+        out = small if out is None else out.unionByName(small)
+        rows = rows.join(full, ["t", "bits"], "left_semi")
+    raise AssertionError
+
+
+def links(prints: DataFrame, *, radius: int = RADIUS, bucket: int = BUCKET, pivots: int = PIVOTS) -> DataFrame:
     """a, b: links between distinct fingerprints (column fp) that connect all that are within the radius."""
     spark = prints.sparkSession
-    masks = _masks(blocks, radius)
     parts = partitions(spark)
-    rows = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in masks])).alias("t", "bits"))
-    full = rows.groupBy("t", "bits").count().where(F.col("count") > bucket).select("t", "bits", F.ceil(F.col("count") / bucket).cast("int").alias("m"))
-    dealt = rows.join(full, ["t", "bits"], "left").withColumn("i", F.when(F.col("m").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp"), F.col("m"))).cast("int"))
-    # sub-bucket i meets every j: both sides of a pair of sub-buckets carry the same (smaller, larger)
-    spread = dealt.select("t", "bits", "fp", "i", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("m"), F.lit(1)) - 1)).alias("j")).select(
-        F.xxhash64("t", "bits", F.least("i", "j"), F.greatest("i", "j")).alias("g"), "fp"
-    )
+    spread = buckets(prints, radius, bucket)
     at = _pivots(pivots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +200,7 @@ def components(pairs: DataFrame, label: str = "components") -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         order = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), F.col(c).alias("b"))
         joined = both.groupBy("a").agg(F.least(F.min(order("b")), F.min(order("a"))).alias("m")).select(F.col("a").alias("node"), F.col("m").getField("b").alias("root"))
-        step = stored(joined, label)
+        step, before = stored(joined, label), roots
         if roots is None:
             roots = step
         else:
@@ -173,21 +211,27 @@ def components(pairs: DataFrame, label: str = "components") -> DataFrame:
         left = step.select(F.col("node").alias("a"), F.col("root").alias("x"))
         right = step.select(F.col("node").alias("b"), F.col("root").alias("y"))
         moved = edges.join(left, "a").join(right, "b").where("x <> y")
-        edges = stored(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), label)
+        done, edges = edges, stored(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), label)
+        discard(done, *(t for t in (step, before) if t is not roots and t is not None))
     if roots is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots
 
 
-def near_duplicates(docs: DataFrame, *, words: int = WORDS, radius: int = RADIUS, blocks: int = BLOCKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, words: int = WORDS, radius: int = RADIUS, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, row (hash of the text), fp and component_id (the smallest doc_id that links reach) of every row."""
     prints = stored(fingerprints(docs, words=words, id_col=id_col, text_col=text_col), "fingerprints")
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes, radius=radius, blocks=blocks))
+    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
+    roots = components(links(nodes.select("fp"), radius=radius, bucket=bucket))
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return prints.join(of, "fp").select("doc_id", "row", "fp", "component_id")
+    of = stored(named.join(least, "root").select("fp", "n", "component_id"), "named")
+    # a fingerprint of more rows than a task's share meets them by broadcast: there are fewer of these than tasks
+    share = (nodes.agg(F.sum("n")).first()[0] or 0) // partitions(docs.sparkSession)
+    many = F.broadcast(of.where(F.col("n") > share).select("fp", "component_id"))
+    few = prints.join(many, "fp", "left_anti").join(of.where(F.col("n") <= share), "fp")
+    cols = ["doc_id", "row", "fp", "component_id"]
+    return prints.join(many, "fp").select(cols).unionByName(few.select(cols))
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -57,7 +57,7 @@ def walk(r, start, steps):
     return out
 
 
-@pytest.mark.parametrize("bucket", [4, 4096])
+@pytest.mark.parametrize("bucket", [4, 24, 4096])
 def test_links_connect_all_pairs(spark, bucket):
     r = random.Random(bucket)
     prints = sorted({x for _ in range(8) for x in walk(r, r.getrandbits(64), 40)} | {r.getrandbits(64) for _ in range(200)})
@@ -75,6 +75,41 @@ def test_links_connect_all_pairs(spark, bucket):
     assert len({min(g) for g in groups.values()}) == len(groups)
 
 
+def test_masks_lose_no_pair():
+    r = random.Random(2)
+    levels = simhash._masks(4, 2)
+    assert [len(x) for x in levels] == [4, 16, 64] and {bin(m).count("1") for m in levels[1]} == {28}
+    for _ in range(300):
+        x = sum(1 << b for b in r.sample(range(64), 3))  # the bits that differ
+        at = [0]
+        for level in levels:  # whichever bucket is cut again, one of its parts holds the pair
+            at = [4 * t + i for t in at for i in range(4) if not level[4 * t + i] & x]
+            assert at
+
+
+def test_pivots_discard_the_pairs(spark):
+    """Pairs that buckets form, those that the pivots leave, and those within the radius: the pivots do the pruning."""
+    r = np.random.default_rng(3)
+    fp = r.integers(0, 1 << 63, 60_000, np.uint64)
+    fp = np.unique(np.r_[fp, fp[:300] ^ np.uint64(5)])
+    counts = [0, 0, 0]
+    for mask in simhash._masks(4, 0)[0]:
+        g = fp & np.uint64(mask)
+        order = np.argsort(g, kind="stable")
+        simhash.forest(g[order], fp[order], 3, simhash._pivots(simhash.PIVOTS), counts)
+    print("pairs in buckets, after pivots, within the radius:", counts)
+    assert counts[2] >= 300 and counts[0] > 100_000 and counts[1] - counts[2] < counts[0] / 500
+
+
+def test_very_long_texts_and_one_hot_print(spark):
+    long = " ".join(f"w{i * i % 9973}" for i in range(200_000))
+    rows = [(i, "same text as all the others", "x") for i in range(3, 60)] + [(2, long, "x"), (1, long + " end", "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, component_id string")
+    got = {r.doc_id: (r.fp, r.component_id) for r in simhash.near_duplicates(df).collect()}
+    assert len(got) == 59 and all(got[i][1] == 3 for i in range(3, 60)) and got[2][1] == got[1][1] == 1
+    assert got[2][0] & (1 << 64) - 1 == slow_fingerprint(long)
+
+
 def test_components_of_rows(spark):
     texts = ["a b c d e f g h", "A B c d e f g h", None, "", "one", "one", "q w e r t y u i o p", None]
     ids = [7, 3, 9, 8, 5, 4, 1, None]
