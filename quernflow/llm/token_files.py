@@ -6,8 +6,10 @@ independent blocks. A block's tokens are dealt over interleaved lanes, each a 64
 words; its directory entry (byte offset, tokens, lanes, CRC-32) is a checkpoint from which that block is decoded alone,
 in parallel with all others. Files are written and read by Spark, so any shared file system holds them.
 
-Defined cases: null and empty texts hold the end id alone; repeated ids stay as many documents, in order of their ids'
-bytes; a null id sorts first; an empty table gives no rows; other columns are ignored.
+Defined cases: null and empty texts hold the end id alone; a very long text stays whole in one segment, over as many
+blocks as it needs; repeated doc_ids stay as many documents, in order of their ids' bytes; a null doc_id sorts first; an
+empty table gives no rows; other columns are ignored, whatever their names. An end id is an unsigned 32-bit number,
+others are refused; symbols in a segment may be any such numbers, 2**19 distinct ones at most.
 """
 
 from __future__ import annotations
@@ -102,14 +104,21 @@ def decode_block(body: bytes, n: int, lanes: int, freq: np.ndarray, low: np.ndar
 
 def write_segment(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
     """A segment's bytes. Null doc_ids are flagged in the length's lowest bit."""
-    counts = np.bincount(ids)
+    if ids.max(initial=0) < 1 << 24:
+        counts = np.bincount(ids)
+        used = np.flatnonzero(counts)
+        place = np.zeros(len(counts), np.int64)
+        place[used] = np.arange(len(used))
+        ids, counts = place[ids], counts[used]
+    else:
+        used, ids, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    # from here on a symbol is its place among those that occur
     freq = scaled(counts)
     low = (np.cumsum(freq) - freq).astype(np.uint64)
-    used = np.flatnonzero(freq)
     freq = freq.astype(np.uint64)
     known = np.array([d is not None for d in doc_ids])
     index = np.array([d or 0 for d in doc_ids], "<i8").tobytes() + (lengths.astype("<u8") << np.uint64(1) | ~known).astype("<u8").tobytes()
-    table = np.r_[used, freq[used].astype(np.int64)].astype("<u4").tobytes()
+    table = np.r_[used, freq.astype(np.int64)].astype("<u4").tobytes()
     entries, bodies, at = [], [], 0
     for a in range(0, len(ids), BLOCK):
         part = ids[a : a + BLOCK]
@@ -134,11 +143,10 @@ class Segment:
             raise ValueError("not a token segment, or its header is damaged")
         meta = zlib.decompress(meta)
         pair = np.frombuffer(meta, "<u4", 2 * used)
-        symbols, share = pair[:used], pair[used:]
-        self.freq = np.zeros(int(symbols[-1]) + 1 if used else 1, np.uint64)
-        self.freq[symbols] = share
+        self.symbols, share = pair[:used].astype(np.uint32), pair[used:]
+        self.freq = share.astype(np.uint64)
         self.low = np.cumsum(self.freq) - self.freq
-        self.symbol = np.repeat(symbols.astype(np.uint32), share)
+        self.symbol = np.repeat(np.arange(used, dtype=np.uint32), share)
         ids = np.frombuffer(meta, "<i8", docs, 8 * used)
         packed = np.frombuffer(meta, "<u8", docs, 8 * used + 8 * docs)
         self.lengths = (packed >> np.uint64(1)).astype(np.int64)
@@ -152,7 +160,7 @@ class Segment:
         body = self.data[self.base + at : self.base + at + 8 * lanes + 4 * words]
         if zlib.crc32(body) != crc:
             raise ValueError(f"block {i} is damaged")
-        return decode_block(body, n, lanes, self.freq, self.low, self.symbol)
+        return self.symbols[decode_block(body, n, lanes, self.freq, self.low, self.symbol)]
 
     def tokens(self) -> np.ndarray:
         parts = [self.block(i) for i in range(len(self.entries))]
@@ -163,10 +171,15 @@ def write_tokens(
     docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text"
 ) -> None:
     """Write the token files of a table. Rows of the files: shard (ascending ranges of doc_id), segment (ascending in
-    the shard), start (ids of the shard before it), n_docs, n_tokens, data. Range bounds come from a scan of the id column alone; ids then travel as
-    16-bit numbers in one exchange, and a task holds one segment at a time."""
+    the shard), start (ids of the shard before it), n_docs, n_tokens, data. Range bounds come from a scan of the id column alone; ids then travel
+    in one exchange, as 16-bit numbers where the vocabulary and the end id allow it and as 32-bit ones elsewhere, to the
+    task of their range's number; a task holds one segment at a time."""
+    if not 0 <= end_id < 1 << 32:
+        raise ValueError("end_id must be an unsigned 32-bit number")
     spark = docs.sparkSession
     bound_batches(spark)
+    width = 2 if max(encoder(tokenizer).size, end_id + 1) <= 1 << 16 else 4
+    kind = f"<u{width}"
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = partitions(spark)
     bounds = id_bounds(rows, "doc_id", parts)
@@ -177,7 +190,7 @@ def write_tokens(
             if not batch.num_rows:
                 continue
             ids, offsets = bpe.encode_array(batch.column(1))
-            out = np.full(len(ids) + batch.num_rows, end_id, "<u2")
+            out = np.full(len(ids) + batch.num_rows, end_id, kind)
             out[spans(offsets[:-1] + np.arange(batch.num_rows), np.diff(offsets))] = ids
             at = (offsets + np.arange(len(offsets))).tolist()
             raw = memoryview(out.tobytes())
@@ -185,7 +198,7 @@ def write_tokens(
                 [
                     pa.array([0 if d is None else bisect_right(bounds, d) for d in batch.column(0).to_pylist()], pa.int32()),
                     batch.column(0),
-                    pa.array([bytes(raw[2 * a : 2 * b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()),
+                    pa.array([bytes(raw[width * a : width * b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()),
                 ],
                 names=["shard", "doc_id", "ids"],
             )
@@ -194,8 +207,8 @@ def write_tokens(
         shard, number, start, doc_ids, held, size = None, 0, 0, [], [], 0
 
         def close() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), "<u2").astype(np.int64)
-            lengths = np.fromiter((len(x) // 2 for x in held), np.int64, len(held))
+            ids = np.frombuffer(b"".join(held), kind).astype(np.int64)
+            lengths = np.fromiter((len(x) // width for x in held), np.int64, len(held))
             data = write_segment(doc_ids, lengths, ids)
             return pa.RecordBatch.from_arrays(
                 [pa.array([shard], pa.int32()), pa.array([number], pa.int32()), *(pa.array([x], pa.int64()) for x in (start, len(held), len(ids))), pa.array([data], pa.binary())],
@@ -211,12 +224,12 @@ def write_tokens(
                 shard = s
                 doc_ids.append(d)
                 held.append(x)
-                size += len(x) // 2
+                size += len(x) // width
         if held:
             yield close()
 
     encoded = rows.mapInArrow(encode, "shard int, doc_id bigint, ids binary")
-    ordered = encoded.repartition(parts, "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "ids")
+    ordered = encoded.repartitionById(parts, "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "ids")
     ordered.mapInArrow(code, "shard int, segment int, start bigint, n_docs bigint, n_tokens bigint, data binary").write.option("compression", "none").parquet(path)
 
 

@@ -103,15 +103,15 @@ class WordBPE:
         vocab = spec["model"]["vocab"]
         suffix = spec["model"].get("end_of_word_suffix")
         kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
-        if not suffix or kinds != ["NFC", "Replace", "Lowercase"] or max(vocab.values()) > 0xFFFF:
-            raise ValueError("a word-level BPE vocabulary with an end-of-word suffix and 16-bit ids is needed")
+        if not suffix or kinds != ["NFC", "Replace", "Lowercase"]:
+            raise ValueError("a word-level BPE vocabulary with an end-of-word suffix is needed")
         self.size = max([*vocab.values(), *(x["id"] for x in spec["added_tokens"])]) + 1
         self.tokens = [self.library.id_to_token(i) or "" for i in range(self.size)]
         letters = byte_letters()
         self.inner = np.array([vocab[c] for c in letters], np.int64)
         self.final = np.array([vocab[c + suffix] for c in letters], np.int64)
         pairs = [x if isinstance(x, list) else x.split(" ") for x in spec["model"]["merges"]]
-        self.ranks = PairRanks(np.array([vocab[a] << 16 | vocab[b] for a, b in pairs], np.int64))
+        self.ranks = PairRanks(np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], np.int64))
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
 
     def merge(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +121,7 @@ class WordBPE:
         ids[ends] = self.final[data[ends]]
         out, alive = ids.copy(), np.ones(len(ids), bool)
         rank = np.full(len(ids), _NONE, np.int64)
-        rank[:-1] = self.ranks(ids[:-1] << 16 | ids[1:])
+        rank[:-1] = self.ranks(ids[:-1] << 32 | ids[1:])
         rank[ends] = _NONE  # the last of a run has no right neighbour
         starts, place = ends + 1 - sizes, np.arange(len(ids))
         while len(ids):
@@ -134,13 +134,13 @@ class WordBPE:
             alive[place[at + 1]] = False
             more = np.flatnonzero(at + 2 < len(ids))
             nxt = np.full(len(at), _NONE, np.int64)
-            nxt[more] = self.ranks(new[more] << 16 | ids[at[more] + 2])
+            nxt[more] = self.ranks(new[more] << 32 | ids[at[more] + 2])
             run_end = np.zeros(len(ids) + 1, bool)
             run_end[starts[1:] - 1] = run_end[len(ids) - 1] = True
             nxt[run_end[at + 1]] = _NONE
             rank[at] = nxt
             back = np.flatnonzero((at > 0) & ~run_end[at - 1])
-            rank[at[back] - 1] = self.ranks(ids[at[back] - 1] << 16 | new[back])
+            rank[at[back] - 1] = self.ranks(ids[at[back] - 1] << 32 | new[back])
             keep = np.repeat(going, widths)
             keep[at + 1] = False
             ids, rank, place = ids[keep], rank[keep], place[keep]

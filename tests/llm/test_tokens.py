@@ -70,6 +70,11 @@ def test_numeral_system(n):
         token_files.Segment(bytes(broken)).tokens()
 
 
+def test_any_symbols():
+    ids = np.array([0, (1 << 32) - 1, 5, 70_000, 5] * 300, np.int64)
+    assert np.array_equal(token_files.Segment(token_files.write_segment([1], np.array([1500]), ids)).tokens(), ids)
+
+
 def test_files(spark, bpe, rows):
     got = sorted(token_files.token_files(rows, PATH).collect(), key=lambda r: r.start)
     order = sorted(rows.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
@@ -81,6 +86,46 @@ def test_files(spark, bpe, rows):
     assert token_files.token_files(rows.limit(0), PATH).count() == 0
 
 
+@pytest.mark.parametrize("end", [70_000, (1 << 32) - 1])
+def test_large_end_ids(spark, bpe, rows, end):
+    some = rows.where("doc_id < 13")
+    got = {(r.doc_id, r.n_tokens): np.frombuffer(r.ids, "<u4").tolist() for r in token_files.token_files(some, PATH, end_id=end).collect()}
+    assert got == {(r.doc_id, len(library(bpe, r.text)) + 1): [*library(bpe, r.text), end] for r in some.collect()}
+    assert {np.frombuffer(r.ids, "<u4")[-1] for r in packing.pack_documents(some.where("text = 'null id' or doc_id = 2"), PATH, end_id=end).collect()} == {end}
+    for bad in (-1, 1 << 32):
+        for make in (token_files.token_files, packing.pack_documents):
+            with pytest.raises(ValueError, match="32-bit"):
+                make(some, PATH, end_id=bad)
+
+
+def test_very_long_text(spark, bpe, monkeypatch):
+    text = " ".join(f"word{i % 4999}" for i in range(120_000))
+    df = spark.createDataFrame([(1, text), (2, "b"), (3, text)], "doc_id bigint, text string")
+    want = library(bpe, text)
+    for r in token_files.token_files(df, PATH).where("doc_id <> 2").collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == [*want, 1]
+    pieces = sorted((r.doc_id, r.start, r.ids) for r in packing.pack_documents(df, PATH).collect())
+    assert np.frombuffer(b"".join(x for d, _, x in pieces if d == 3), "<u4").tolist() == [*want, 1]
+    for r in chunk_bpe.encode_documents(df, PATH).where("doc_id = 3").collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == want
+
+
+def test_buckets(spark, rows, tmp_path):
+    got = packing.pack_documents(rows.repartition(3), PATH, length=256).collect()
+    order = sorted(got, key=lambda r: r.sequence_id)
+    assert [r.length for r in order] == sorted((r.length for r in got), reverse=True)  # numbers run bucket by bucket
+    tasks = {}
+    for r in order:
+        tasks.setdefault(r.sequence_id >> packing.RUN_BITS, []).append(r)
+    for mine in tasks.values():  # gapless in a bucket of a task
+        assert len({r.length for r in mine}) == 1
+        assert [r.sequence_id & (1 << packing.RUN_BITS) - 1 for r in mine] == list(range(len(mine)))
+    packing.write_buckets(packing.pack_documents(rows, PATH, length=256), str(tmp_path / "packed"))
+    for size in (1, 64, 256):
+        batch = packing.read_bucket(spark, str(tmp_path / "packed"), size)
+        assert sorted(len(r.ids) for r in batch.collect()) == [4 * size] * sum(r.length == size for r in got)
+
+
 def test_packing(spark, bpe, rows):
     got = packing.pack_documents(rows, PATH, length=2048).collect()
     assert len({r.sequence_id for r in got}) == len(got)
