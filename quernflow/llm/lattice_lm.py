@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, LOWER, UPPER, bound_batches, lower_ascii, stored
+from .common import LOWER, UPPER, bound_batches, lower_ascii, stored, words_of
 from .wordbpe import byte_letters
 
 #: Words that are broadcast at most, rounds of re-estimation, and what is added to every piece's expected count.
@@ -252,8 +252,8 @@ def in_bulk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_counts(docs: DataFrame, text: str, train: str) -> DataFrame:
     """word and its count c in training documents, for every word of the corpus. JVM only, combined before the shuffle."""
-    words = F.explode(F.array_remove(F.split(F.translate(lower_ascii(F.col(text)), BLANKS, " " * len(BLANKS)), " ", -1), "")).alias("word")
-    return docs.select(words, F.col(train).cast("int").alias("one")).groupBy("word").agg(F.sum("one").cast("bigint").alias("c"))
+    words = docs.select(F.explode(words_of(F.col(text))).alias("word"), F.col(train).cast("int").alias("one"))
+    return words.groupBy(lower_ascii(F.col("word")).alias("word")).agg(F.sum("one").cast("bigint").alias("c"))
 
 
 @dataclass(frozen=True)

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, LOWER, UPPER, fresh
+from .common import BLANKS, fresh, words_of
 
 #: Labelled rows that a list is learned from at most, taken in the order of a hash of their ids.
 MAX_LABELLED = 20_000
@@ -45,15 +45,13 @@ def add_statistics(docs: DataFrame, names: list[str], text_col: str = "text") ->
     """`docs` with the statistics as long columns `names`, in the order of STATISTICS. Arrays are projected before
     lambdas refer to them, so no array is built again for each of its elements."""
     text, words, lines, grams, order, spots = fresh(docs, "_text", "_words", "_lines", "_grams", "_order", "_spots")
-    flat = F.translate(F.col(text), BLANKS, " " * len(BLANKS))
-
-    def gone(chars: str) -> Column:
-        return (F.length(text) - F.length(F.translate(F.col(text), chars, ""))).cast("bigint")
+    def gone(pattern: str) -> Column:
+        return (F.length(text) - F.length(F.regexp_replace(F.col(text), pattern, ""))).cast("bigint")
 
     one = docs.withColumn(text, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     two = one.withColumns(
         {
-            words: F.array_remove(F.split(flat, " ", -1), ""),
+            words: words_of(F.col(text)),
             lines: F.filter(F.split(F.col(text), "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)) != ""),
         }
     )
@@ -76,14 +74,14 @@ def add_statistics(docs: DataFrame, names: list[str], text_col: str = "text") ->
     )
     made = {
         "n_words": F.size(words).cast("bigint"),
-        "word_chars": F.length(F.translate(F.col(text), BLANKS, "")).cast("bigint"),
-        "n_symbols": gone(SYMBOLS),
+        "word_chars": F.length(F.regexp_replace(F.col(text), "[ \\t-\\r]+", "")).cast("bigint"),
+        "n_symbols": gone(f"[{SYMBOLS}]"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint"),
         "n_repeat_words": F.coalesce(covered, F.lit(0).cast("bigint")),
         "n_lines": F.size(lines).cast("bigint"),
-        "n_upper": gone(UPPER),
-        "n_bangs": gone("!"),
-        "n_pipes": gone("|"),
+        "n_upper": gone("[A-Z]+"),
+        "n_bangs": gone("!+"),
+        "n_pipes": gone("[|]+"),
     }
     # A generator of one row: filters on statistics stay above it. Pushed below, each would repeat the whole expression.
     return five.select(*docs.columns, F.inline(F.array(F.struct(*[made[k].alias(n) for k, n in zip(STATISTICS, names, strict=True)]))))
@@ -212,11 +210,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     )
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = texts.join(F.broadcast(sample), "id")  # bounded by max_labelled
-    got = add_statistics(rows, list(STATISTICS)).select("id", "label", *STATISTICS)
-    # no more rows than labels, unless documents repeat
-    found = got.dropDuplicates(["id"]).collect()
-    found.sort(key=lambda r: r.id)
-    return learn_rules(np.array([r[2:] for r in found], float).reshape(len(found), len(STATISTICS)), np.array([r.label == 0 for r in found], bool))
+    # of documents that share an id the one with the least statistics counts: as many rows as labels
+    got = add_statistics(rows, list(STATISTICS)).groupBy("id", "label").agg(F.min(F.struct(*STATISTICS)).alias("s"))
+    found = sorted(got.collect(), key=lambda r: r.id)
+    return learn_rules(np.array([tuple(r.s) for r in found], float).reshape(len(found), len(STATISTICS)), np.array([r.label == 0 for r in found], bool))
 
 
 def judge(docs: DataFrame, rules: list[Rule], *, text_col: str = "text") -> tuple[DataFrame, dict[str, str], str, str]:
