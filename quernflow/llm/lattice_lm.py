@@ -1,17 +1,20 @@
 """Operator 9: language-model scoring by subword lattice likelihood.
 
 An existing subword vocabulary spells every word in many ways. Its pieces carry unigram probabilities: they start from
-the vocabulary's own order and are re-estimated on the distinct training words by expectation maximisation over all
-segmentations. The sum over all of them is taken by the forward recursion in log space. A training word is one more arc
-over its whole lattice, weighted by its count less a discount (from the numbers of words seen once and twice); what the
-discount frees is shared out by the pieces' sum, so the probabilities of all words add up to one. A document's is the
-product over its words and its end. Word counts of the whole corpus are gathered in one aggregation; every distinct
-word is scored once, and documents meet the scores by a broadcast of the frequent words (a bounded number) and a join
-for all others. A plain word unigram with add-half smoothing stands beside it as the base score.
-
-Defined cases: null and empty texts are the end token alone; a null doc_id counts as a training document; repeated rows
-are scored and counted each; without training words the base counts are zero, the pieces keep their first
-probabilities and alone give the score; an empty table gives no rows; extra columns are ignored.
+the vocabulary's own order, the only scores that it has, and expectation maximisation over all segmentations of the
+training words, each with its count, fits them to the corpus. The sum over all segmentations is taken by the forward
+recursion in log space; a document's probability is the product over its words and its end (`score`). Word counts of the
+whole corpus are gathered in one aggregation; every distinct word is scored once, and documents meet the scores by a
+broadcast of the frequent words (a bounded number) and a join for all others. A plain word unigram with add-half
+smoothing stands beside it as the base score. `word_score` goes beyond the method: there a training word is one more arc
+over its lattice, with its count less a discount (from the numbers of words seen once and twice), and what the discount
+frees is shared out by the pieces' sum, so the probabilities of all words still add up to one.
+
+Defined cases: null and empty texts are the end token alone; very long texts are counted by word, very long words summed
+in stretches (`LONG`); a null doc_id counts as a training document; repeated rows are scored and counted each; words of
+equal count (ties) are all broadcast or all joined; without training words the base counts are zero, the pieces keep
+their first probabilities and both scores are the same; an empty table gives no rows; extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, bound_batches, lower_ascii, stored, words_of
+from .common import LOWER, UPPER, bound_batches, discard, lower_ascii, stored, words_of
 from .wordbpe import byte_letters
 
 #: Words that are broadcast at most, rounds of re-estimation, and what is added to every piece's expected count.
@@ -280,9 +283,8 @@ class WordArcs:
 
 
 def fit_pieces(words: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndarray:
-    """Logarithms of the pieces' probabilities after re-estimation. Every distinct training word counts once: frequent
-    ones have their own arcs, the pieces are for words not seen before. As many numbers as the vocabulary has pieces
-    come to the driver in each round."""
+    """Logarithms of the pieces' probabilities after re-estimation on the training words (word, c), each counted c times.
+    As many numbers as the vocabulary has pieces come to the driver in each round."""
     log_p = Lattice(path).log_p
     trained = words.where("c > 0")
     for _ in range(rounds):
@@ -292,11 +294,11 @@ def fit_pieces(words: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndarray:
             lattice = Lattice(path, now)  # noqa: B023
             total = np.zeros(lattice.size)
             for batch in in_bulk(batches):
-                total += lattice.expected([w.encode() for w in batch.column(0).to_pylist()], np.ones(batch.num_rows))
+                total += lattice.expected([w.encode() for w in batch.column(0).to_pylist()], batch.column(1).to_numpy().astype(float))
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["piece", "n"])
 
-        got = trained.select("word").mapInArrow(run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+        got = trained.select("word", "c").mapInArrow(run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
         if not got:
             break
         counts = np.full(len(log_p), ADDED)
@@ -307,7 +309,7 @@ def fit_pieces(words: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndarray:
 
 
 def score_documents(docs: DataFrame, path: str, *, head: int = HEAD, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every row."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and word_score (log10) of every row."""
     spark = docs.sparkSession
     bound_batches(spark)
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 1, F.lit(False))
@@ -325,12 +327,15 @@ def score_documents(docs: DataFrame, path: str, *, head: int = HEAD, rounds: int
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(path, log_p)
         for batch in in_bulk(batches):
-            s = arcs.join(batch.column(1).to_numpy(), lattice.log_probability([w.encode() for w in batch.column(0).to_pylist()]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s / math.log(10) + go_on)], names=["word", "c", "score"])
+            s = lattice.log_probability([w.encode() for w in batch.column(0).to_pylist()])
+            w = arcs.join(batch.column(1).to_numpy(), s)
+            both = [pa.array(x / math.log(10) + go_on) for x in (s, w)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *both], names=["word", "c", "score", "whole"])
 
-    spelled = counts.select("word", "c").mapInArrow(spell, "word string, c bigint, score double")
+    spelled = counts.select("word", "c").mapInArrow(spell, "word string, c bigint, score double, whole double")
     base = F.log10((F.col("c") + 0.5) / F.lit(under))
-    scored = stored(spelled.select("word", "c", base.alias("base"), "score"), "lm-scores")
+    scored = stored(spelled.select("word", "c", base.alias("base"), "score", "whole"), "lm-scores")
+    discard(counts)
     # the frequent words: a count threshold that at most `head` words reach, from a histogram of powers of two
     bins = {r.b: r.n for r in scored.where("c > 0").groupBy(F.floor(F.log2("c")).cast("int").alias("b")).agg(F.count("*").alias("n")).collect()}
     bar, room = 1 << 62, head
@@ -339,8 +344,8 @@ def score_documents(docs: DataFrame, path: str, *, head: int = HEAD, rounds: int
         if room < 0:
             break
         bar = 1 << b
-    common = scored.where(F.col("c") >= bar).select("word", "base", "score").collect()
-    known = spark.sparkContext.broadcast(({r.word: i for i, r in enumerate(common)}, np.array([(r.base, r.score) for r in common]).reshape(-1, 2)))
+    common = scored.where(F.col("c") >= bar).select("word", "base", "score", "whole").collect()
+    known = spark.sparkContext.broadcast(({r.word: i for i, r in enumerate(common)}, np.array([r[1:] for r in common]).reshape(-1, 3)))
     end_base, end_score = math.log10((n_docs + 0.5) / under), math.log10(p_end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,7 +354,7 @@ def score_documents(docs: DataFrame, path: str, *, head: int = HEAD, rounds: int
         index, values = known.value
         find = index.get
         row = TaskContext.get().partitionId() << 40
-        names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "word", "tf"]
+        names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "whole", "word", "tf"]
         for batch in batches:
             k = batch.num_rows
             tail_row, tail_word, tail_tf, sums = [], [], [], []
@@ -359,40 +364,42 @@ def score_documents(docs: DataFrame, path: str, *, head: int = HEAD, rounds: int
                 at = np.fromiter(map(find, tf, (-1 for _ in tf)), np.int64, len(tf))
                 n = np.fromiter(tf.values(), np.int64, len(tf))
                 hit = at >= 0
-                base, score = n[hit] @ values[at[hit]] if hit.any() else (0.0, 0.0)
-                sums.append((int(n.sum()) + 1, int(n[hit].sum()) + (n_docs > 0), base + end_base, score + end_score))
+                base, score, whole = n[hit] @ values[at[hit]] if hit.any() else (0.0, 0.0, 0.0)
+                sums.append((int(n.sum()) + 1, int(n[hit].sum()) + (n_docs > 0), base + end_base, score + end_score, whole + end_score))
                 words = list(tf)
                 for j in np.flatnonzero(~hit).tolist():
                     tail_row.append(row + i)
                     tail_word.append(words[j])
                     tail_tf.append(int(n[j]))
             none = pa.nulls(len(tail_row), pa.int64())
-            cols = list(zip(*sums, strict=True)) or [[]] * 4
+            cols = list(zip(*sums, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.arange(row, row + k)), batch.column(0), batch.column(2), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()),
-                    pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64()), pa.nulls(k, pa.string()), pa.nulls(k, pa.int64()),
+                    *(pa.array(c, pa.float64()) for c in cols[2:]), pa.nulls(k, pa.string()), pa.nulls(k, pa.int64()),
                 ],
                 names=names,
             )
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(tail_row, pa.int64()), none, none.cast(pa.bool_()), none, none,
-                    none.cast(pa.float64()), none.cast(pa.float64()), pa.array(tail_word, pa.string()), pa.array(tail_tf, pa.int64()),
+                    *[none.cast(pa.float64())] * 3, pa.array(tail_word, pa.string()), pa.array(tail_tf, pa.int64()),
                 ],
                 names=names,
             )
             row += k
 
-    schema = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, word string, tf bigint"
+    schema = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, whole double, word string, tf bigint"
     parts = stored(rows.select("doc_id", "text", "held_out").mapInArrow(run, schema), "lm-documents")
     tail = parts.where("word is not null").select("row", "word", "tf").join(scored, "word")
     rest = tail.groupBy("row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("k2"), F.sum(F.col("tf") * F.col("base")).alias("b2"), F.sum(F.col("tf") * F.col("score")).alias("s2")
+        F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("k2"), F.sum(F.col("tf") * F.col("base")).alias("b2"), F.sum(F.col("tf") * F.col("score")).alias("s2"),
+        F.sum(F.col("tf") * F.col("whole")).alias("w2"),
     )
-    main = parts.where("word is null").select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score")
+    main = parts.where("word is null").select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "whole")
     zero = F.lit(0.0)
     return main.join(rest, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("k2", F.lit(0))).alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"),
         (F.col("base") + F.coalesce("b2", zero)).alias("base_score"), (F.col("score") + F.coalesce("s2", zero)).alias("score"),
+        (F.col("whole") + F.coalesce("w2", zero)).alias("word_score"),
     )

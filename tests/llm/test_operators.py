@@ -326,6 +326,58 @@ def test_lines_of_repeated_rows_and_clashing_names(spark):
 # 9: language model
 
 
+def piece_table(log_p):
+    """Probabilities by (bytes, whether the piece ends a word)."""
+    parts, ends = lattice_lm.pieces(queries.vocabulary())
+    return {(a, b): math.exp(x) for a, b, x in zip(parts, ends, log_p, strict=True)}
+
+
+def slow_forward(w, p, longest=60):
+    a = [1.0] + [0.0] * len(w)
+    for j in range(1, len(w) + 1):
+        a[j] = sum(a[i] * p.get((w[i:j], j == len(w)), 0) for i in range(max(0, j - longest), j))
+    return a[-1]
+
+
+def segmentations(w, p, last=True):
+    if not w:
+        yield []
+    for k in range(1, len(w) + 1):
+        if (w[:k], k == len(w)) in p:
+            for rest in segmentations(w[k:], p):
+                yield [(w[:k], k == len(w)), *rest]
+
+
+def test_pieces_against_all_segmentations(spark):
+    """Expectation maximisation and the marginal likelihood by listing every segmentation of every word."""
+    counts = {"the": 5, "theatre": 2, "a": 3, "cat": 1, "é": 2, "x1!?": 1}
+    parts, ends = lattice_lm.pieces(queries.vocabulary())
+    keys = list(zip(parts, ends, strict=True))
+    p = {k: 1 / (i + 1) for i, k in enumerate(keys)}
+    p = {k: v / sum(p.values()) for k, v in p.items()}
+    for _ in range(lattice_lm.ROUNDS):
+        expected = dict.fromkeys(keys, lattice_lm.ADDED)
+        for w, c in counts.items():
+            ways = list(segmentations(w.encode(), p))
+            each = [math.prod(p[x] for x in s) for s in ways]
+            for s, m in zip(ways, each, strict=True):
+                for x in s:
+                    expected[x] += c * m / sum(each)
+        p = {k: v / sum(expected.values()) for k, v in expected.items()}
+    got = lattice_lm.fit_pieces(spark.createDataFrame([*counts.items(), ("unseen", 0)], "word string, c bigint"), queries.vocabulary())
+    assert np.exp(got) == pytest.approx([p[k] for k in keys])
+    docs = [(i, " ".join([w] * c), "s") for i, (w, c) in enumerate(counts.items()) if zlib.crc32(str(i).encode()) % 5 != 1]
+    assert len(docs) < len(counts) or zlib.crc32(b"7") % 5 != 1
+    rows = {r.doc_id: r for r in lattice_lm.score_documents(spark.createDataFrame([*docs, (7, "theatre cat", "s")], "doc_id bigint, text string, word string"), queries.vocabulary(), rounds=0).collect()}
+    p = {k: 1 / (i + 1) for i, k in enumerate(keys)}
+    whole = sum(p.values())
+    for i, text, _ in [*docs, (7, "theatre cat", "s")]:
+        words = text.split()
+        end = (sum(not r.held_out for r in rows.values()) + 0.5) / (rows[i].train_tokens + 1)
+        want = math.log10(end) + sum(math.log10(sum(math.prod(p[x] / whole for x in s) for s in segmentations(w.encode(), p)) * (1 - end)) for w in words)
+        assert rows[i].score == pytest.approx(want)
+
+
 def test_scores(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     words = {r.doc_id: WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "")) for r in rows}
@@ -338,14 +390,17 @@ def test_scores(spark, sf_dir):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(c), sum(x > 0 for x in c), total)
         assert r.base_score == pytest.approx(sum(math.log10((x + 0.5) / (total + 0.5 * (distinct + 1))) for x in c))
         assert r.held_out == (r.doc_id not in train) and r.score < 0
-    lattice = lattice_lm.Lattice(queries.vocabulary(), lattice_lm.fit_pieces(spark.createDataFrame([(w, c) for w, c in counts.items()], "word string, c bigint"), queries.vocabulary()))
+    log_p = lattice_lm.fit_pieces(spark.createDataFrame([(w, c) for w, c in counts.items()], "word string, c bigint"), queries.vocabulary())
+    p = piece_table(log_p)
     each = Counter(counts.values())
     d, n, v = (each[1] + 0.5) / (each[1] + 2 * each[2] + 1), sum(counts.values()), len(counts)
     p_end = (len(train) + 0.5) / (total + 1)
     for r in whole[::10]:
-        spelled = np.exp(lattice.log_probability([w.encode() for w in words[r.doc_id]]))
-        want = [math.log10(max(counts[w] - d, 0) / n + d * v / n * s) + math.log10(1 - p_end) for w, s in zip(words[r.doc_id], spelled, strict=True)]
-        assert r.score == pytest.approx(sum(want) + math.log10(p_end))
+        spelled = [slow_forward(w.encode(), p) for w in words[r.doc_id]]
+        go_on = math.log10(1 - p_end)
+        assert r.score == pytest.approx(sum(math.log10(s) + go_on for s in spelled) + math.log10(p_end))
+        want = [math.log10(max(counts[w] - d, 0) / n + d * v / n * s) + go_on for w, s in zip(words[r.doc_id], spelled, strict=True)]
+        assert r.word_score == pytest.approx(sum(want) + math.log10(p_end))
     some = {r.doc_id: r.score for r in lattice_lm.score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), queries.vocabulary(), head=50).collect()}
     assert all(some[r.doc_id] == pytest.approx(r.score) for r in whole)  # broadcast and join agree
 
