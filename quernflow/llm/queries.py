@@ -49,6 +49,7 @@ def op4_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
         "n_chunks",
+        "n_reused",
     )
 
 

@@ -41,20 +41,45 @@ def test_encoder(bpe, monkeypatch, slab):
         assert bpe.decode(library(bpe, t)) == bpe.library.decode(library(bpe, t), skip_special_tokens=False)
 
 
-def test_chunks_are_shared_and_exact(spark, bpe, rows):
+@pytest.mark.parametrize("bits", [64, 1 << 25])
+def test_chunks_are_shared_and_exact(spark, bpe, rows, monkeypatch, bits):
+    monkeypatch.setattr(chunk_bpe, "FILTER_BITS", bits)  # 64: the filter takes nearly every chunk for shared
+    monkeypatch.setattr(chunk_bpe, "JOIN_BYTES", 500)
     got = chunk_bpe.encode_documents(rows, PATH).collect()
-    assert len(got) == rows.count()
     text = {r.doc_id: r.text for r in rows.collect()}
+    assert len(got) == rows.count()
     for r in got:
         assert np.frombuffer(r.ids, "<u4").tolist() == library(bpe, text[r.doc_id])
         assert r.decoded == bpe.library.decode(library(bpe, text[r.doc_id]), skip_special_tokens=False)
-    chunks = chunk_bpe.Chunks(PATH)
-    passage = " ".join(f"word{i}" for i in range(3000))
-    made = list(chunks.encode(pa.array(["start one " + passage, "other beginning " + passage], pa.string())))
-    assert made[1][2] > 0.5 * made[1][1]  # most chunks of the second text were encoded for the first
     assert chunk_bpe.encode_documents(rows.limit(0), PATH).count() == 0
 
 
+def test_shared_chunks_are_encoded_once(spark, bpe, monkeypatch):
+    """Passages in documents of different tasks, in one run-on word too; a chunk that a third of all documents hold."""
+    passage = " ".join(f"word{i * i}" for i in range(3000))
+    run_on = "".join(f"run{i * i}" for i in range(2000))
+    texts = [f"document {i} begins {passage if i % 2 else run_on} and ends {i}" * (1 + i % 3) for i in range(30)] + ["no other text holds this"] * 1
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(7)
+    got = {r.doc_id: r for r in chunk_bpe.encode_documents(df, PATH).collect()}
+    for i, t in enumerate(texts):
+        assert np.frombuffer(got[i].ids, "<u4").tolist() == library(bpe, t)
+    assert sum(r.n_reused for r in got.values()) > 0.8 * sum(r.n_chunks for r in got.values()) and got[30].n_reused == 0
+    shared = chunk_bpe.shared_chunks(df).collect()
+    keys = [k for t in texts for k in chunk_bpe.cut(pa.array([t]))[0]]
+    assert sum(r.n for r in shared) == len(keys) - sum(keys.count(k) == 1 for k in keys)
+
+
+def test_joins_of_any_cut(bpe):
+    """Whatever the cuts, joined chunks give the ids of the whole text."""
+    r = np.random.default_rng(8)
+    for t in [t for t in TEXTS if t and len(t) < 2000]:
+        raw = t.encode()
+        for _ in range(5):
+            cuts = sorted({0, len(raw), *(int(c) for c in r.integers(0, len(raw) + 1, 6) if c == len(raw) or raw[c] & 0xC0 != 0x80)})
+            entries = chunk_bpe.encode_chunks(bpe, [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
+            assert chunk_bpe.join_chunks(bpe, [entries])[0].tolist() == library(bpe, t)
+
+
 @pytest.mark.parametrize("n", [1, 2, 130, 5000, 70000])
 def test_numeral_system(n):
     r = np.random.default_rng(n)
