@@ -1,6 +1,13 @@
 """The corpus pipeline: quality rules, line dedup, near-dedup, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+
+Defined cases, by stage: null, empty and wordless texts fail the quality rules; repeated rows pass them alike, lose the
+same lines and stay once in near-dedup; of equal lines the largest doc_id's stay, of near copies the row of the smallest
+doc_id, of several such the one whose text's hash is least; a null doc_id is the smallest document for lines and names a
+group of copies only if all its ids are null; very long texts are handled whole; a table without labels keeps all that
+passes the base rule; an empty table gives no rows; extra columns pass through all stages but the last, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -44,5 +51,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, common.stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        common.discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,8 +9,9 @@ compared by their exact similarity. A group of more than `block` nodes is dealt
 holds more than two of them and no pair goes missing. Links connect to components, as in operator 10.
 
 Defined cases: a text of fewer words than a shingle is one shingle; null, empty and wordless texts are copies of each
-other; a null doc_id names a component's row only if all ids in it are null; repeated rows stay once; an empty table
-gives no rows; extra columns are kept.
+other; very long texts are shingled whole, their minima taken in stretches; a similarity of exactly 0.8 (a tie) links; a
+null doc_id names a component's row only if all ids in it are null; repeated rows stay once; an empty table gives no
+rows; extra columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, fresh, partitions, stored
+from .common import bound_batches, discard, fresh, partitions, stored
 from .simhash import _BLANK, _pivots, components
 
 #: Words of a shingle; similarity of near copies as a fraction.
@@ -155,7 +156,10 @@ def drop_near_copies(docs: DataFrame, *, block: int = BLOCK, id_col: str = "doc_
     wanted = nodes.join(groups, "node").select(F.col("root").alias("g"), "node", F.col("first.doc").alias(doc), F.col("first.row").alias(row))
     texts = keyed.select(doc, row, F.col(text_col).cast("string").alias("text"))
     members = stored(texts.join(wanted, [doc, row]).select("g", "node", "text").dropDuplicates(["node"]), "near-members")
-    roots = components(stored(links(members, block), "near-links"), "near-components")
+    found = stored(links(members, block), "near-links")
+    discard(members)
+    roots = components(found, "near-components")
+    discard(found)
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     heads = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc").alias(doc), F.col("first.row").alias(row))
     return keyed.join(heads, [doc, row], "left_semi").dropDuplicates([doc, row]).select(*docs.columns)
