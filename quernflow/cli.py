@@ -81,6 +81,8 @@ def _add_editors(sub) -> None:
     s = sub.add_parser("add-validation")
     for name in ("job", "view", "name", "query"):
         s.add_argument(name)
+    for name in ("add-input", "add-table", "add-validation"):
+        sub.choices[name].add_argument("--replace", action="store_true")
     s = sub.add_parser("delete")
     s.add_argument("job")
     s.add_argument("kind", choices=("input", "table", "validation"))
@@ -93,11 +95,11 @@ def _edit(a: argparse.Namespace) -> bool:
     if a.command == "init":
         new_project(a.job)
     elif a.command == "add-input":
-        save_input(a.job, a.view, {"path": a.path, "format": a.format, "cache": not a.no_cache, "options": _pairs(a.option)})
+        save_input(a.job, a.view, {"path": a.path, "format": a.format, "cache": not a.no_cache, "options": _pairs(a.option)}, a.replace)
     elif a.command == "add-table":
-        save_table(a.job, a.view, a.query, {"format": a.format, "partitionBy": a.partition_by, "maxPartitions": a.max_partitions, "options": _pairs(a.option)})
+        save_table(a.job, a.view, a.query, {"format": a.format, "partitionBy": a.partition_by, "maxPartitions": a.max_partitions, "options": _pairs(a.option)}, a.replace)
     elif a.command == "add-validation":
-        save_validation(a.job, a.view, a.name, a.query)
+        save_validation(a.job, a.view, a.name, a.query, a.replace)
     elif a.command == "delete":
         delete(a.job, a.kind, a.view, a.name)
     else:

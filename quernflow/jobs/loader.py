@@ -13,6 +13,8 @@ from ..temporal import TemporalVariables
 from .model import Job, Task, Validation
 
 VIEW = re.compile(r"[a-zA-Z_][a-zA-Z0-9_]*")
+#: A file name of one part: no separators, and not hidden.
+CHECK = re.compile(r"[^./\\\x00][^/\\\x00]*")
 
 
 def _strings(options: dict) -> dict[str, str]:
@@ -78,27 +80,47 @@ def check_view(name: str) -> str:
     return name
 
 
+def check_unused(directory: str, view: str) -> None:
+    """Views share one namespace: neither an input nor a table may have the name, in any case of letters."""
+    for folder, kind in (("inputs", "input"), ("tables", "table")):
+        for p in (Path(directory) / folder).glob("*"):
+            if p.name.lower() == check_view(view).lower():
+                raise FileExistsError(f"There is already the {kind} '{p.name}'")
+
+
+def check_validation(name: str | None) -> str:
+    if not name or not CHECK.fullmatch(name):
+        raise ValueError(f"'{name}' is no validation name: a file name without separators is needed")
+    return name
+
+
 def new_project(directory: str) -> None:
-    """A small job that runs as it stands."""
+    """A small job that runs as it stands, in a directory that holds no job yet."""
     base = Path(directory)
-    if base.exists() and any(base.iterdir()):
-        raise FileExistsError(f"{directory} is not empty")
-    (base / "data").mkdir(parents=True)
+    if (base / "inputs").is_dir() or (base / "tables").is_dir():
+        raise FileExistsError(f"{directory} already holds a job")
+    (base / "data").mkdir(parents=True, exist_ok=True)
     (base / "data" / "example.csv").write_text("id,name,amount\n1,alice,10.00\n2,bob,25.50\n3,carol,7.25\n", encoding="utf-8")
     save_input(directory, "example", {"path": "data/example.csv"})
     save_table(directory, "example_summary", "SELECT COUNT(*) AS n_rows, SUM(amount) AS total\nFROM example\n")
 
 
-def save_input(directory: str, view: str, spec: dict) -> Path:
+def save_input(directory: str, view: str, spec: dict, replace: bool = False) -> Path:
+    """Add an input, or with `replace` change one that is there."""
     d = Path(directory) / "inputs" / check_view(view)
+    if not (replace and d.is_dir()):
+        check_unused(directory, view)
     d.mkdir(parents=True, exist_ok=True)
     small = {k: v for k, v in spec.items() if not (k == "cache" and v is True) and v not in (None, {}, "")}
     (d / "input.json").write_text(json.dumps(small, indent=2) + "\n", encoding="utf-8")
     return d / "input.json"
 
 
-def save_table(directory: str, view: str, sql: str, output: dict | None = None) -> Path:
+def save_table(directory: str, view: str, sql: str, output: dict | None = None, replace: bool = False) -> Path:
+    """Add a table, or with `replace` change one that is there."""
     d = Path(directory) / "tables" / check_view(view)
+    if not (replace and d.is_dir()):
+        check_unused(directory, view)
     d.mkdir(parents=True, exist_ok=True)
     (d / "main.sql").write_text(sql, encoding="utf-8")
     small = {k: v for k, v in (output or {}).items() if v not in (None, {}, "") and (k, v) != ("format", "csv")}
@@ -109,9 +131,15 @@ def save_table(directory: str, view: str, sql: str, output: dict | None = None)
     return d
 
 
-def save_validation(directory: str, view: str, name: str, sql: str) -> Path:
-    d = Path(directory) / "tables" / check_view(view) / "validations"
-    d.mkdir(parents=True, exist_ok=True)
+def save_validation(directory: str, view: str, name: str, sql: str, replace: bool = False) -> Path:
+    """Add a validation to a table, or with `replace` change one that is there."""
+    table = Path(directory) / "tables" / check_view(view)
+    if not table.is_dir():
+        raise FileNotFoundError(f"There is no table '{view}'")
+    d = table / "validations"
+    if (d / f"{check_validation(name)}.sql").exists() and not replace:
+        raise FileExistsError(f"There is already the validation '{name}' of '{view}'")
+    d.mkdir(exist_ok=True)
     (d / f"{name}.sql").write_text(sql, encoding="utf-8")
     return d / f"{name}.sql"
 
@@ -122,6 +150,6 @@ def delete(directory: str, kind: str, view: str, validation: str | None = None)
 
     d = Path(directory) / {"input": "inputs", "table": "tables", "validation": "tables"}[kind] / check_view(view)
     if kind == "validation":
-        (d / "validations" / f"{validation}.sql").unlink()
+        (d / "validations" / f"{check_validation(validation)}.sql").unlink()
     else:
         shutil.rmtree(d)

@@ -77,6 +77,8 @@ class _Run:
                 r.error = "Validations failed: " + ", ".join(v.name for v in r.validations if not v.passed)
         except Exception as e:  # noqa: BLE001
             r.status, r.error = FAILED, f"{type(e).__name__}: {e}"
+            if "OutOfMemoryError" in r.error:
+                r.error += " (inputs with \"cache\": false leave more memory to tasks)"
             r.files = []
             if node.directory:
                 clear_if_marked(Place(self.spark, node.directory))

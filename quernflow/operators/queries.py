@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..jobs import Job, Task, Validation, run_job
 from ..plans.engine import execute
 from ..session import dialect_session, shared_path
-from ..sources.inputs import InputFile, read_csv
+from ..sources.inputs import InputFile, read_csv, read_input
 from ..sources.sinks import OutputFile, write_output
 from ..temporal import TemporalVariables
 
@@ -80,8 +80,8 @@ SQL: dict[str, tuple[str, str, str, str | None]] = {
     # aggregates
     "agg_count_sum_avg_min_max": (
         "lineitem", S,
-        "SELECT l_returnflag, COUNT(*) AS n, COUNT(NULLIF(l_linenumber, 3)) AS n3, SUM(l_linenumber) AS s, ROUND(AVG(l_quantity), 6) AS a, MIN(l_discount) AS lo, MAX(l_shipmode_len) AS hi FROM lineitem GROUP BY l_returnflag",
-        None,
+        "SELECT l_returnflag, COUNT(*) AS n, COUNT(NULLIF(l_linenumber, 3)) AS n3, SUM(l_linenumber) AS s, ROUND(AVG(l_quantity), 6) AS a, MIN(l_discount) AS lo, MAX(l_tax) AS hi FROM lineitem GROUP BY l_returnflag",
+        "SELECT l_returnflag, COUNT(*) AS n, COUNT(NULLIF(l_linenumber, 3)) AS n3, CAST(SUM(l_linenumber) AS BIGINT) AS s, ROUND(AVG(l_quantity), 6) AS a, MIN(l_discount) AS lo, MAX(l_tax) AS hi FROM lineitem GROUP BY l_returnflag",
     ),
     "agg_count_distinct": ("lineitem", S, "SELECT l_linestatus, COUNT(DISTINCT l_quantity) AS n FROM lineitem GROUP BY l_linestatus", None),
     "agg_count_if": ("lineitem", S, "SELECT l_returnflag, COUNT_IF(NULLIF(l_linenumber, 3) > 2) AS n FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, CAST(count_if(NULLIF(l_linenumber, 3) > 2) AS BIGINT) AS n FROM lineitem GROUP BY l_returnflag"),
@@ -95,6 +95,11 @@ SQL: dict[str, tuple[str, str, str, str | None]] = {
         "SELECT l_returnflag, ROUND(COVAR_SAMP(l_quantity, l_linenumber), 5) AS a, ROUND(COVAR_POP(l_quantity, l_linenumber), 5) AS b, ROUND(CORR(l_quantity, l_extendedprice), 6) AS c, CORR(l_quantity, 1) AS none FROM lineitem GROUP BY l_returnflag",
         "SELECT l_returnflag, ROUND(covar_samp(l_quantity, l_linenumber), 5) AS a, ROUND(covar_pop(l_quantity, l_linenumber), 5) AS b, ROUND(corr(l_quantity, l_extendedprice), 6) AS c, CAST(NULL AS DOUBLE) AS none FROM lineitem GROUP BY l_returnflag",
     ),
+    "agg_moment_aliases": (
+        "lineitem", S,
+        "SELECT l_linestatus, ROUND(STDDEV_SAMP(l_quantity), 6) AS a, ROUND(STDDEV_POP(l_quantity), 6) AS b, ROUND(VARIANCE(l_quantity), 5) AS c, ROUND(VAR_SAMP(l_quantity), 5) AS d, ROUND(VARP(l_quantity), 5) AS e FROM lineitem GROUP BY l_linestatus",
+        "SELECT l_linestatus, ROUND(stddev_samp(l_quantity), 6) AS a, ROUND(stddev_pop(l_quantity), 6) AS b, ROUND(var_samp(l_quantity), 5) AS c, ROUND(var_samp(l_quantity), 5) AS d, ROUND(var_pop(l_quantity), 5) AS e FROM lineitem GROUP BY l_linestatus",
+    ),
     "agg_global_empty": ("orders", S, "SELECT COUNT(*) AS n, SUM(o_custkey) AS s, MIN(o_orderstatus) AS m FROM orders WHERE o_orderkey < 0", "SELECT COUNT(*) AS n, CAST(SUM(o_custkey) AS BIGINT) AS s, MIN(o_orderstatus) AS m FROM orders WHERE o_orderkey < 0"),
     "agg_group_expr": ("orders", S, "SELECT o_custkey % 10 AS bucket, COUNT(*) AS n FROM orders GROUP BY o_custkey % 10", None),
     "agg_group_ordinal": ("customer", S, "SELECT c_mktsegment, c_nationkey, COUNT(*) AS n FROM customer GROUP BY 1, 2", None),
@@ -130,6 +135,16 @@ SQL: dict[str, tuple[str, str, str, str | None]] = {
         "SELECT o_orderkey, COUNT(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM orders",
         "SELECT o_orderkey, COUNT(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM orders",
     ),
+    "win_single_bound": (
+        "orders", S,
+        "SELECT o_orderkey, SUM(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS 2 PRECEDING) AS s, COUNT(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS n FROM orders",
+        "SELECT o_orderkey, CAST(SUM(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS 2 PRECEDING) AS BIGINT) AS s, COUNT(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS n FROM orders",
+    ),
+    "win_running_count_distinct": (
+        "events", S,
+        "SELECT event_id, COUNT(DISTINCT NULLIF(event_type, 'click')) OVER (PARTITION BY user_id ORDER BY event_id) AS n, COUNT(DISTINCT event_type) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS w FROM events",
+        "SELECT event_id, COUNT(DISTINCT NULLIF(event_type, 'click')) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS n, COUNT(DISTINCT event_type) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS w FROM events",
+    ),
     "win_global": ("nation", S, "SELECT n_nationkey, ROW_NUMBER() OVER (ORDER BY n_name) AS r, COUNT(*) OVER () AS n FROM nation", None),
     "win_after_group": ("orders", S, "SELECT o_custkey, COUNT(*) AS n, RANK() OVER (ORDER BY COUNT(*) DESC) AS r FROM orders GROUP BY o_custkey", None),
     "win_in_expr": ("orders", S, "SELECT o_orderkey, 2 * ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + 1 AS odd FROM orders", None),
@@ -176,6 +191,17 @@ SQL: dict[str, tuple[str, str, str, str | None]] = {
         "SELECT l_orderkey, l_linenumber, ROUND(SIN(l_discount), 9) AS s, ROUND(COS(l_discount), 9) AS c, ROUND(TAN(l_discount), 9) AS t, ROUND(ASIN(l_discount), 9) AS a, ROUND(ATAN2(l_discount, 1), 9) AS b, ROUND(TANH(l_discount), 9) AS h, ROUND(DEGREES(l_discount), 7) AS d FROM lineitem",
         "SELECT l_orderkey, l_linenumber, floor(sin(l_discount) * 1e9 + 0.5) / 1e9 AS s, floor(cos(l_discount) * 1e9 + 0.5) / 1e9 AS c, floor(tan(l_discount) * 1e9 + 0.5) / 1e9 AS t, floor(asin(l_discount) * 1e9 + 0.5) / 1e9 AS a, floor(atan2(l_discount, 1) * 1e9 + 0.5) / 1e9 AS b, floor(tanh(l_discount) * 1e9 + 0.5) / 1e9 AS h, floor(degrees(l_discount) * 1e7 + 0.5) / 1e7 AS d FROM lineitem",
     ),
+    "fn_more_math": (
+        "lineitem", S,
+        "SELECT l_orderkey, l_linenumber, ROUND(CBRT(l_quantity), 9) AS c, ROUND(LOG2(l_quantity), 9) AS l, ROUND(ACOS(l_discount), 9) AS a, ROUND(ATAN(l_tax), 9) AS t, ROUND(SINH(l_discount), 9) AS s, ROUND(COSH(l_discount), 9) AS h, ROUND(RADIANS(l_quantity), 9) AS r, PI() AS p, E() AS e FROM lineitem",
+        "SELECT l_orderkey, l_linenumber, floor(cbrt(l_quantity) * 1e9 + 0.5) / 1e9 AS c, floor(log2(l_quantity) * 1e9 + 0.5) / 1e9 AS l, floor(acos(l_discount) * 1e9 + 0.5) / 1e9 AS a, floor(atan(l_tax) * 1e9 + 0.5) / 1e9 AS t, floor((exp(l_discount) - exp(-l_discount)) / 2 * 1e9 + 0.5) / 1e9 AS s, floor((exp(l_discount) + exp(-l_discount)) / 2 * 1e9 + 0.5) / 1e9 AS h, floor(radians(l_quantity) * 1e9 + 0.5) / 1e9 AS r, pi() AS p, exp(1::DOUBLE) AS e FROM lineitem",
+    ),
+    "fn_aliases": (
+        "customer", S,
+        "SELECT c_custkey, LEN(c_name) AS n, CEILING(c_acctbal) AS c, POWER(c_nationkey, 2) AS p, TRUNCATE(c_acctbal, 1) AS t FROM customer",
+        "SELECT c_custkey, CAST(length(c_name) AS INTEGER) AS n, ceil(c_acctbal) AS c, pow(c_nationkey, 2) AS p, trunc(c_acctbal * 10) / 10 AS t FROM customer",
+    ),
+    "fn_clock": ("region", S, "SELECT r_regionkey, CURRENT_DATE IS NULL AS d, CURRENT_TIMESTAMP > CAST('2020-01-01T00:00:00' AS TIMESTAMP) AS t, RAND() < 1 AS r FROM region", "SELECT r_regionkey, FALSE AS d, TRUE AS t, TRUE AS r FROM region"),
     "fn_greatest_least": ("lineitem", S, "SELECT l_orderkey, l_linenumber, GREATEST(l_linenumber, NULLIF(4, l_linenumber), 3) AS g, LEAST(l_linenumber, NULL, 3) AS l FROM lineitem", "SELECT l_orderkey, l_linenumber, greatest(l_linenumber, NULLIF(4, l_linenumber), 3) AS g, least(l_linenumber, 3) AS l FROM lineitem"),
     "fn_null_propagation": ("part", S, "SELECT p_partkey, ABS(NULLIF(p_size, 1)) AS a, UPPER(NULLIF(p_brand, 'Brand#11')) AS u, NULLIF(p_size, 1) + 1 AS s FROM part", None),
     # native superset
@@ -209,11 +235,6 @@ SQL: dict[str, tuple[str, str, str, str | None]] = {
     ),
     "validation_zero_rows": ("lineitem", S, "SELECT l_orderkey FROM lineitem WHERE l_quantity < 0 OR l_orderkey IS NULL", None),
 }
-_t = SQL["agg_count_sum_avg_min_max"]
-SQL["agg_count_sum_avg_min_max"] = (
-    _t[0], S, _t[2].replace("l_shipmode_len", "l_tax"),
-    "SELECT l_returnflag, COUNT(*) AS n, COUNT(NULLIF(l_linenumber, 3)) AS n3, CAST(SUM(l_linenumber) AS BIGINT) AS s, ROUND(AVG(l_quantity), 6) AS a, MIN(l_discount) AS lo, MAX(l_tax) AS hi FROM lineitem GROUP BY l_returnflag",
-)
 
 
 def _tables(spark: SparkSession, sf_dir: str, names: str) -> dict[str, DataFrame]:
@@ -245,6 +266,34 @@ def parquet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+def csv_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as CSV in partitions with another separator, read back by a glob with sampled types."""
+    session = dialect_session(spark)
+    out = shared_path(session, "csv-typed")
+    orders = session.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice", "o_orderstatus", F.col("o_orderdate").cast("date").alias("day"), F.lit(True).alias("seen"))
+    write_output(orders, OutputFile(out, "csv", {"delimiter": "|", "nullValue": "-"}, max_partitions=3))
+    return read_input(session, InputFile("orders", f"{out}/part-*.csv", options={"delimiter": "|", "nullValue": "-"}), strict=True)
+
+
+def job_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job with a validation that fails, a task that fails, and tasks that are skipped for them: names and statuses."""
+    job = Job(
+        inputs=(InputFile("nation", f"{sf_dir}/nation.parquet"), InputFile("gone", f"{sf_dir}/no-such-table.parquet")),
+        tasks=(
+            Task("fine", "SELECT n_nationkey, n_regionkey FROM nation"),
+            Task("invalid", "SELECT n_nationkey FROM fine", validations=(Validation("none", "SELECT n_nationkey FROM invalid WHERE n_nationkey > 3"),)),
+            Task("after_invalid", "SELECT COUNT(*) AS n FROM invalid"),
+            Task("fails", "SELECT CAST(n_name AS INT) AS k FROM nation"),
+            Task("after_failed", "SELECT k FROM fails"),
+            Task("no_input", "SELECT * FROM gone"),
+            Task("also_fine", "SELECT COUNT(*) AS n FROM fine"),
+        ),
+        mode="strict",
+    )
+    result = run_job(spark, job)
+    return spark.createDataFrame([(t.name, t.status, t.rows if t.status == "Succeeded" else None) for t in result.tasks], "task string, status string, n bigint")
+
+
 def templated_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A template in a query over events, rendered for a fixed moment."""
     at = TemporalVariables(datetime(2026, 1, 1, 5, 30, 21, tzinfo=UTC))
@@ -284,6 +333,12 @@ def api_group_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MORE = {
     "csv_roundtrip": (csv_roundtrip, "SELECT * FROM nation"),
+    "csv_inferred": (csv_inferred, "SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, o_totalprice, o_orderstatus, CAST(o_orderdate AS DATE) AS day, TRUE AS seen FROM orders"),
+    "job_statuses": (
+        job_statuses,
+        "SELECT * FROM (VALUES ('fine', 'Succeeded', (SELECT COUNT(*) FROM nation)), ('invalid', 'ValidationFailed', NULL), ('after_invalid', 'Skipped', NULL), ('fails', 'Failed', NULL), "
+        "('after_failed', 'Skipped', NULL), ('no_input', 'Skipped', NULL), ('also_fine', 'Succeeded', 1)) AS t(task, status, n)",
+    ),
     "parquet_roundtrip": (parquet_roundtrip, "SELECT * FROM supplier"),
     "templated_dates": (templated_dates, "SELECT event_id, '20251202' AS a, '2026-01-01T05:30:20' AS b, '16' AS c FROM events"),
     "pipeline_dag_marts": (

@@ -272,6 +272,33 @@ class Binder:
         c, _ = self.bind(fn[2][0], s)
         return {"sum": F.sum, "avg": F.avg, **_MOMENTS}[fn[1]](c).over(w)
 
+    def distinct_counts(self, df: DataFrame, s: Scope, trees: tuple) -> DataFrame:
+        """`df` with a column for each COUNT(DISTINCT x) OVER of the trees whose frame is the whole partition or runs from
+        its start to the current row; the scope knows them. Neither builds sets: the first is the highest dense rank, the
+        second a running sum over first occurrences."""
+        calls: list[tuple] = []
+        _walk(trees, lambda n: n[0] == "over" and n[1][1] == "count" and n[1][3] and not calls.append(n))
+        for e in dict.fromkeys(calls):
+            _, fn, parts, order, frame = e
+            low, high = frame if frame else (None, 0) if order else (None, None)
+            if low is not None or high not in (None, 0) or not parts or (high == 0 and not order):
+                continue
+            x, rank, rows, out = (self.fresh() for _ in range(4))
+            df = df.withColumn(x, self.bind(fn[2][0], s)[0])
+            keys = [self.bind(p, s)[0] for p in parts]
+            if high is None:
+                df = df.withColumn(rank, F.dense_rank().over(Window.partitionBy(*keys).orderBy(F.col(x).asc_nulls_last())))
+                count = F.max(F.when(F.col(x).isNotNull(), F.col(rank))).over(Window.partitionBy(*keys))
+            else:
+                df = df.withColumn(rows, F.monotonically_increasing_id())  # one order for both windows, ties included
+                by = [*(self.key(self.bind(k, s)[0], asc) for k, asc in order), F.col(rows).asc()]
+                df = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys, x).orderBy(*by)))
+                first = F.when(F.col(x).isNotNull() & (F.col(rank) == 1), 1).otherwise(0)
+                count = F.sum(first).over(Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0))
+            df = df.withColumn(out, F.coalesce(count, F.lit(0)).cast(LONG))
+            s.known[e] = (F.col(out), LONG)
+        return df
+
     @staticmethod
     def key(c: Column, asc: bool) -> Column:
         return c.asc_nulls_first() if asc else c.desc_nulls_last()
@@ -362,6 +389,7 @@ class Binder:
             df, s = self.group(df, s, q, trees, calls)
         elif q.having is not None:
             raise SqlError("HAVING needs GROUP BY or an aggregate")
+        df = self.distinct_counts(df, s, (*trees, tuple(q.order)))
         bound = [self.bind(e, s) for e in trees]
         out = [Field(None, name or (text.split(".")[-1] if e[0] == "col" else text.lower()), self.fresh(), t) for (e, name, text), (_, t) in zip(items, bound, strict=True)]
         df = df.withColumns({f.inner: c for f, (c, _) in zip(out, bound, strict=True)})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import SparkSession
@@ -37,6 +38,11 @@ def dialect_session(spark: SparkSession) -> SparkSession:
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder that driver and executors share, spark.checkpoint.dir; below /tmp where it is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/quernflow-shared"
+    """A fresh path in the folder that driver and executors share, spark.checkpoint.dir. Only where it is unset and all
+    runs in one process (master local) a folder below /tmp stands in; on a cluster the setting is needed."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file:///tmp/quernflow-shared"
     return f"{root.rstrip('/')}/quernflow/{label}-{uuid.uuid4().hex}"

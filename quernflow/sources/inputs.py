@@ -203,7 +203,8 @@ def _widened(rows: DataFrame, schema: T.StructType) -> T.StructType:
 def read_csv(spark: SparkSession, files: list[str], options: dict[str, str] | None = None, schema: T.StructType | None = None, strict: bool = False) -> DataFrame:
     """CSV by RFC 4180: doubled quotes, embedded separators and line breaks; short rows end in NULLs. Without a schema,
     types come from the first file's sample. A later value that does not fit its type fails the read if `strict` (or
-    mode=FAILFAST); otherwise its column's type is widened over all files, so no value is lost."""
+    mode=FAILFAST); otherwise its column's type is widened over all files, so no value is lost. A file is one task, as
+    values may hold line breaks; multiLine=false splits files whose values hold none."""
     s = csv_settings(options or {})
     given = schema
     if schema is None:
@@ -213,7 +214,7 @@ def read_csv(spark: SparkSession, files: list[str], options: dict[str, str] | No
     texts = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(schema))])
     reader = spark.read.schema(texts if given is None else given).options(
         header=s["header"], sep=s["sep"], quote=s["quote"], escape=s["escape"], nullValue=s["null"], encoding=s["encoding"],
-        multiLine=True, enforceSchema=True, mode="FAILFAST" if s["strict"] else "PERMISSIVE",
+        multiLine=(options or {}).get("multiLine", "true").lower() in _TRUE, enforceSchema=True, mode="FAILFAST" if s["strict"] else "PERMISSIVE",
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     )
     rows = reader.csv(files)
@@ -231,7 +232,9 @@ def read_csv(spark: SparkSession, files: list[str], options: dict[str, str] | No
 
 
 def read_input(spark: SparkSession, source: InputFile, schema: T.StructType | None = None, strict: bool = False) -> DataFrame:
-    """The rows of an input. Parquet keeps the first file's schema, column pruning and pushed filters are Spark's."""
+    """The rows of an input. Parquet keeps the first file's schema, column pruning and pushed filters are Spark's. The
+    option read_partition_size_bytes is a setting of the whole session: of several inputs that give it the last one's
+    holds for all of a job."""
     files = expand(spark, source.path)
     if source.resolved_format(source.path) == "parquet":
         size = source.options.get("read_partition_size_bytes")

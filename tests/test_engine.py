@@ -260,3 +260,73 @@ def test_plans(spark):
     text = plan("filter_between")
     assert "PushedFilters: [IsNotNull" in text and "ReadSchema: struct<l_orderkey:bigint,l_linenumber:int,l_quantity:double,l_discount:double>" in text
     assert "CartesianProduct" not in plan("join_comma")
+
+
+def test_editing_refuses_names_in_use(tmp_path):
+    base = str(tmp_path / "job")
+    loader.new_project(base)
+    with pytest.raises(FileExistsError):
+        loader.new_project(base)
+    for save in (lambda v: loader.save_input(base, v, {"path": "x.csv"}), lambda v: loader.save_table(base, v, "SELECT 1")):
+        for used in ("example", "EXAMPLE", "example_summary"):
+            with pytest.raises(FileExistsError):
+                save(used)
+    loader.save_input(base, "example", {"path": "y.csv"}, replace=True)
+    loader.save_table(base, "example_summary", "SELECT 2", replace=True)
+    with pytest.raises(FileExistsError):
+        loader.save_table(base, "example", "SELECT 2", replace=True)
+    loader.save_validation(base, "example_summary", "No rows", "SELECT 1")
+    with pytest.raises(FileExistsError):
+        loader.save_validation(base, "example_summary", "No rows", "SELECT 2")
+    for bad in ("../x", "a/b", "..", "", ".hidden", None):
+        with pytest.raises(ValueError):
+            loader.save_validation(base, "example_summary", bad, "SELECT 1")
+        with pytest.raises(ValueError):
+            loader.delete(base, "validation", "example_summary", bad)
+    with pytest.raises(FileNotFoundError):
+        loader.save_validation(base, "no_table", "x", "SELECT 1")
+    loader.delete(base, "validation", "example_summary", "No rows")
+
+
+def test_count_distinct_windows(spark):
+    """Whole partitions and running frames, with NULLs, ties in the order and windows inside expressions."""
+    catalog = Catalog(spark)
+    rows = [(i, i % 3, None if i % 4 == 0 else i * i % 7, i // 2) for i in range(40)]
+    catalog.register("t", catalog.spark.createDataFrame(rows, "i int, p int, x int, o int"))
+    got = {r.i: r for r in catalog.sql("SELECT i, COUNT(DISTINCT x) OVER (PARTITION BY p) AS a, 1 + COUNT(DISTINCT x) OVER (PARTITION BY p ORDER BY i DESC) AS b, COUNT(DISTINCT x + 1) OVER (PARTITION BY p ORDER BY o) AS c FROM t ORDER BY COUNT(DISTINCT x) OVER (PARTITION BY p), i", "strict").collect()}
+    for i, p, _, o in rows:
+        whole = {x for _, q, x, _ in rows if q == p and x is not None}
+        down = {x for j, q, x, _ in rows if q == p and x is not None and j >= i}
+        least = {x for j, q, x, k in rows if q == p and x is not None and (k < o or j == i)}
+        most = {x for _, q, x, k in rows if q == p and x is not None and k <= o}
+        assert got[i].a == len(whole) and got[i].b == 1 + len(down) and len(least) <= got[i].c <= len(most)
+    plan = catalog.sql("SELECT COUNT(DISTINCT x) OVER (PARTITION BY p ORDER BY i) AS n FROM t", "strict")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan
+
+
+def test_shared_folder_is_needed_on_clusters(spark, monkeypatch):
+    from quernflow import session
+
+    class Conf:
+        def __init__(self, got):
+            self.got = got
+
+        def get(self, *_):
+            return self.got
+
+    class Context:
+        def __init__(self, master, got=None):
+            self.master, self.got = master, got
+
+        def getConf(self):  # noqa: N802
+            return Conf(self.got)
+
+    class Session:
+        def __init__(self, *a):
+            self.sparkContext, self.conf = Context(*a), Conf(None)
+
+    for master in ("spark://host:7077", "yarn", "k8s://x", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            session.shared_path(Session(master), "x")
+    assert session.shared_path(Session("local[4]"), "x").startswith("file:///tmp/")
+    assert session.shared_path(Session("yarn", "hdfs://c/shared/"), "x").startswith("hdfs://c/shared/quernflow/x-")
