@@ -6,9 +6,11 @@ information gain on two thirds of the sample, is pruned back on the other third,
 there; what it covers is taken out and the next rule is sought. The list is emitted as an ordered chain of Spark
 conditional expressions: the first rule that holds rejects, the end of the chain keeps.
 
-Defined cases: null and empty texts have no words and fail the base rule; null labels take no part; a table without
-labels, or with one class only, gives an empty list, which keeps all that passes the base rule; repeated rows each give
-a row; an empty table gives no rows; extra columns pass through `add_statistics`, whatever their names.
+Defined cases: null and empty texts have no words and fail the base rule; very long texts are counted whole, as arrays
+of their words; null labels take no part, of an id's several labels the least counts, of several texts the one with the
+least statistics; of thresholds of equal gain (ties) the first in the order of the features and the lowest wins; a table
+without labels, or with one class only, gives an empty list, which keeps all that passes the base rule; repeated rows
+each give a row; an empty table gives no rows; extra columns pass through `add_statistics`, whatever their names.
 """
 
 from __future__ import annotations

@@ -5,16 +5,21 @@ and decides. Elsewhere one Aho-Corasick pass finds the terms of a vocabulary in
 between boundaries (no ASCII letter or digit on either side); one strict term rejects, or `soft_limit` distinct soft
 ones.
 
-Defined cases: a null URL and one without `://` have an empty host and path, no rule and no terms, and are allowed; an
-empty table gives no rows; repeated rows each give a row; extra columns are ignored.
+The shipped vocabulary is a small example; `read_vocabulary` loads own lists, which travel to the workers once.
+
+Defined cases: a null URL and one without `://` have an empty host and path, no rule and no terms, and are allowed; very
+long URLs are searched whole, in one pass; of rules of one length (ties) the one given first wins; a term that is both
+strict and soft is strict, a term given twice counts once; an empty table gives no rows; repeated rows each give a row;
+extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, bound_batches
@@ -25,6 +30,8 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 STRICT = ("adult", "casino", "escort", "porn", "spam", "viagra", "warez", "xxx")
 SOFT = ("ads", "bet", "bets", "bonus", "cheap", "free", "jackpot", "loan", "loans", "pills", "poker", "track", "tracker", "win")
 SOFT_LIMIT = 2
+#: Terms that a loaded vocabulary may hold; larger ones are refused.
+MAX_TERMS = 1_000_000
 _LOW = str.maketrans(UPPER, LOWER)
 _WORD = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
@@ -47,7 +54,11 @@ class UrlFilter:
     def __init__(self, rules=RULES, strict=STRICT, soft=SOFT, soft_limit: int = SOFT_LIMIT):
         import ahocorasick
 
-        self.rules = sorted(((t, v, *t.split("/", 1)) for v, t in rules), key=lambda r: -len(r[0]))
+        self.rules: dict[str, list[tuple[int, str, str, str]]] = {}
+        for i, (what, text) in enumerate(rules):
+            host, path = text.split("/", 1)
+            self.rules.setdefault(host, []).append((i, text, what, "/" + path))
+        self.labels = max((h.count(".") + 1 for h in self.rules), default=0)
         self.limit = soft_limit
         self.terms = ahocorasick.Automaton()
         weights = dict.fromkeys(soft, 1) | dict.fromkeys(strict, soft_limit)
@@ -57,10 +68,13 @@ class UrlFilter:
             self.terms.make_automaton()
 
     def rule(self, host: str, path: str) -> tuple[str, str] | None:
-        for text, what, h, p in self.rules:
-            if (host == h or host.endswith("." + h)) and path.startswith("/" + p):
-                return text, what
-        return None
+        """The longest rule that fits, and its verdict. Looked up by the host's last labels, as many as any rule has."""
+        fits = []
+        suffix = None
+        for label in reversed(host.rsplit(".", self.labels)[-self.labels :] if self.labels else ()):
+            suffix = label if suffix is None else f"{label}.{suffix}"
+            fits += [(-len(text), i, text, what) for i, text, what, p in self.rules.get(suffix, ()) if path.startswith(p)]
+        return min(fits)[2:] if fits else None
 
     def weight(self, text: str) -> int:
         """The summed weights of the distinct terms between boundaries."""
@@ -80,12 +94,35 @@ class UrlFilter:
         return host, path, None, "block" if self.weight(host + path.translate(_LOW)) >= self.limit else "allow"
 
 
+def read_vocabulary(spark: SparkSession, path: str, most: int = MAX_TERMS) -> dict[str, tuple[str, ...]]:
+    """The terms of a text file, one a line as `strict <term>` or `soft <term>`, as arguments of `filter_urls`. Blank lines
+    and those that begin with # are passed over; terms are lower-cased."""
+    lines = [r[0].strip() for r in spark.read.text(path).limit(most + 1).collect()]
+    if len(lines) > most:
+        raise ValueError(f"{path}: more than {most} lines")
+    out: dict[str, list[str]] = {"strict": [], "soft": []}
+    for line in lines:
+        if line and not line.startswith("#"):
+            kind, _, term = line.partition(" ")
+            if kind not in out or not term.strip():
+                raise ValueError(f"{path}: '{line}' is neither 'strict <term>' nor 'soft <term>'")
+            out[kind].append(term.strip().translate(_LOW))
+    return {k: tuple(dict.fromkeys(v)) for k, v in out.items()}
+
+
+_made: dict[str, UrlFilter] = {}
+
+
 def filter_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", **vocabulary) -> DataFrame:
     """page_id, host, path, rule and verdict of every row."""
     bound_batches(pages.sparkSession)
+    shared, key = pages.sparkSession.sparkContext.broadcast(vocabulary), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = UrlFilter(**vocabulary).judge
+        if key not in _made:  # a worker builds its automaton once
+            _made.clear()
+            _made[key] = UrlFilter(**shared.value)
+        judge = _made[key].judge
         for batch in batches:
             rows = [judge(u) for u in batch.column(1).to_pylist()]
             cols = zip(*rows, strict=True) if rows else [[], [], [], []]

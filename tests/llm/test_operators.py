@@ -10,6 +10,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from quernflow.llm import block_search, crf, html_extract, lattice_lm, line_dedup, oracles, quality_rules, queries, url_filter
 from quernflow.llm.html_blocks import leaf_blocks
 
@@ -220,6 +221,44 @@ def test_statistics(spark, sf_dir):
     assert quality_rules.filter_quality(df.limit(0), []).count() == 0
 
 
+def condition(name, top, bottom, above, threshold):
+    return quality_rules.Condition(name, top, bottom, above, threshold)
+
+
+def test_emitted_expression(spark):
+    """The chain that a non-empty list emits, against the rules applied by hand, in their order."""
+    texts = [None, "", *("word " * 60 + "#" * k for k in range(0, 80, 9)), "A B C " * 40, *(" ".join(f"w{i}" for i in range(60 + k)) for k in range(0, 300, 40))]
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id bigint, text string, n_symbols int")
+    rules = [
+        (condition("symbols_per_word", "n_symbols", "n_words", True, 0.3),),
+        (condition("n_words", "n_words", None, True, 200.0), condition("chars_per_word", "word_chars", "n_words", False, 3.9)),
+    ]
+    rows, at, failed, kept = quality_rules.judge(df, rules)
+    found = set()
+    for r in rows.collect():
+        n, chars, symbols = (r[at[k]] for k in ("n_words", "word_chars", "n_symbols"))
+        bad = symbols / max(n, 1) >= 0.3 or (n >= 200 and chars / max(n, 1) <= 3.9)
+        assert r[kept] == (not r[failed] and not bad)
+        found.add((r[failed], bad))
+    assert (False, True) in found and (False, False) in found
+    assert "CASE WHEN" in str(quality_rules.verdict(rules, at)) and quality_rules.filter_quality(df, rules).columns == df.columns
+
+
+def test_learning_does_not_depend_on_order(spark):
+    docs = [(i, "w " * (60 + i % 40) + "# " * (i % 3 * 30)) for i in range(300)] + [(i, "other text " * 40) for i in range(0, 300, 7)]
+    labels = spark.createDataFrame([(i, 0 if i % 3 else 1) for i in range(300)] + [(5, None), (None, 1), (6, 0)], "doc_id bigint, quality int")
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    one = quality_rules.fit(df, labels)
+    assert one and one == quality_rules.fit(df.repartition(5).orderBy(F.desc("text")), labels.repartition(3))
+    assert quality_rules.fit(df, labels.limit(0)) == [] == quality_rules.fit(df.limit(0), labels)
+
+
+def test_long_text_statistics(spark):
+    text = "\n".join(f"line {i} of {i % 50} words" for i in range(40_000))
+    rows, at, _, _ = quality_rules.judge(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), [])
+    assert tuple(rows.first()[at[k]] for k in quality_rules.STATISTICS[:5]) == slow_statistics(text)
+
+
 def test_rules_are_learned_and_held_out():
     r = np.random.default_rng(3)
     n = 3000
@@ -260,6 +299,27 @@ def test_urls(url, want):
     assert url_filter.UrlFilter().judge(url) == want
 
 
+def test_url_rows(spark, tmp_path):
+    rows = [(1, "http://free.io/Cheap", "h", "v"), (1, "http://free.io/Cheap", "h", "v"), (2, None, "h", "v"), (3, "", "h", "v"), (None, "http://x/" + "cheap-" * 200_000, "h", "v"), (4, "http://" + "a." * 300_000 + "net/free/bet", "h", "v")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, host string, rule string")
+    got = sorted(((r.page_id, r.host[:6], r.rule, r.verdict) for r in url_filter.filter_urls(df).collect()), key=str)
+    assert got == [(1, "free.i", None, "block")] * 2 + [(2, "", None, "allow"), (3, "", None, "allow"), (4, "a.a.a.", "net/", "block"), (None, "x", None, "allow")]
+    assert url_filter.filter_urls(df.limit(0)).count() == 0
+    (tmp_path / "terms").write_text("# own terms\nstrict CHEAP\nsoft x\n\nsoft free\n")
+    own = url_filter.read_vocabulary(spark, str(tmp_path / "terms"))
+    assert own == {"strict": ("cheap",), "soft": ("x", "free")}
+    assert {r.verdict for r in url_filter.filter_urls(df.where("page_id = 1 or page_id is null"), **own).collect()} == {"block"}
+    with pytest.raises(ValueError, match="more than"):
+        url_filter.read_vocabulary(spark, str(tmp_path / "terms"), most=3)
+
+
+def test_many_rules_and_ties():
+    rules = [("block", "a.b/"), ("allow", "b/xx"), ("allow", "b/"), ("block", "c.a.b/x/")]
+    judge = url_filter.UrlFilter(rules=rules).judge
+    assert judge("q://z.a.b/xx")[2:] == ("a.b/", "block") and judge("q://b/xxx")[2:] == ("b/xx", "allow")  # a tie: the first
+    assert judge("q://1.c.a.b/x/y")[2:] == ("c.a.b/x/", "block") and judge("q://ab/x")[2:] == (None, "allow") and judge("q://.b/")[2:] == ("b/", "allow")
+
+
 # 7: lines
 
 
