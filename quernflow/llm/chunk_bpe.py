@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, partitions, stored
+from .common import bound_batches, discard, partitions, spread_join, stored
 from .wordbpe import _BLANK, _KINDS, WordBPE, encoder, spans
 
 #: Mean bytes of a chunk (a power of two), its least and greatest size.
@@ -247,7 +247,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id",
         for batch in batches:
             made = encode_chunks(bpe, batch.column(2).to_pylist())
             cols = [pa.array([e[0] for e in made], pa.binary()), pa.array([e[1].astype("<u4").tobytes() for e in made], pa.binary()), pa.array([e[2] for e in made], pa.binary()), pa.array([e[3] for e in made], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["h1", "h2", "head", "ids", "tail", "blank"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *cols], names=["h1", "h2", "refs", "head", "ids", "tail", "blank"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts from their parts, which come sorted by text and place."""
@@ -272,17 +272,15 @@ def encode_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id",
             yield _result(bpe, pa.array(doc_ids, pa.int64()), join_chunks(bpe, texts), chunks, reused)
 
     made = stored(rows.mapInArrow(parts, "row bigint, doc_id bigint, pos bigint, n int, h1 bigint, h2 bigint, chunk binary, head binary, ids binary, tail binary, blank boolean"), "chunk-parts")
-    whole = made.where("chunk is not null").groupBy("h1", "h2").agg(F.first("chunk").alias("chunk"))  # equal hashes, equal bytes
-    entries = stored(whole.mapInArrow(encode_shared, "h1 bigint, h2 bigint, head binary, ids binary, tail binary, blank boolean"), "shared-entries")
-    # a chunk with more references than a task's share meets them by broadcast: there are fewer of these than tasks
-    n_parts = partitions(spark)
-    share = (shared.agg(F.sum("n")).first()[0] or 0) // n_parts
-    hot = F.broadcast(entries.join(F.broadcast(shared.where(F.col("n") > share).select("h1", "h2")), ["h1", "h2"]))
+    # equal hashes, equal bytes
+    whole = made.where("ids is null").groupBy("h1", "h2").agg(F.first("chunk", ignorenulls=True).alias("chunk"), F.count("*").alias("refs"))
+    entries = stored(whole.mapInArrow(encode_shared, "h1 bigint, h2 bigint, refs bigint, head binary, ids binary, tail binary, blank boolean"), "shared-entries")
     cols = ["row", "doc_id", "pos", "n", "own", "head", "ids", "tail", "blank"]
     own = made.where("ids is not null").withColumn("own", F.lit(True)).select(cols)
     refs = made.where("ids is null").select("row", "doc_id", "pos", "n", "h1", "h2", F.lit(False).alias("own"))
-    few = refs.join(hot.select("h1", "h2"), ["h1", "h2"], "left_anti").join(entries, ["h1", "h2"]).select(cols)
-    pieces = own.unionByName(refs.join(hot, ["h1", "h2"]).select(cols)).unionByName(few)
+    discard(shared)
+    pieces = own.unionByName(spread_join(refs, entries, ["h1", "h2"], "refs").select(cols))
+    n_parts = partitions(spark)
     ordered = pieces.repartition(n_parts, "row").sortWithinPartitions("row", "pos").drop("pos")
     schema = "doc_id bigint, n_tokens bigint, ids binary, decoded string, n_chunks bigint, n_reused bigint"
     return rows.mapInArrow(alone, schema).unionByName(ordered.mapInArrow(join, schema))

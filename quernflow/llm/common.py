@@ -94,6 +94,17 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """An inner join of `many` with the one row that `one`, a stored table, has for each key; its column `n` says how many
+    rows of `many` that is. Keys with more than a task's share of all rows meet theirs by broadcast: there are fewer of
+    these than tasks. All others are shuffled."""
+    share = (one.agg(F.sum(n)).first()[0] or 0) // partitions(many.sparkSession)
+    hot = F.broadcast(one.where(F.col(n) > share).drop(n))
+    few = many.join(hot.select(*keys), keys, "left_anti").join(one.where(F.col(n) <= share).drop(n), keys)
+    out = many.join(hot, keys)
+    return out.unionByName(few.select(*out.columns))
+
+
 def id_bounds(df: DataFrame, column: str, parts: int) -> list[int]:
     """At most parts - 1 ascending split points of an integer column: a range partitioning that needs only that
     column's scan. The list's length is bounded by the number of partitions; empty tables give none."""

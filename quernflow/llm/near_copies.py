@@ -5,8 +5,10 @@ that holds them has no selective buckets. Candidates come from several fingerpri
 min-wise fingerprints of `ROWS` minima each. A pair of similarity s shares none of them with probability
 (1 - s^ROWS)^BANDS: 0.0002 at 0.8. Texts with the same set are one node. Nodes that share a fingerprint, directly or
 through others, form a group; each group's texts come together once and all its pairs that are not yet connected are
-compared by their exact similarity. A group of more than `block` nodes is dealt over pairs of sub-groups, so no task
-holds more than two of them and no pair goes missing. Links connect to components, as in operator 10.
+compared by their exact similarity. In a group of more than `block` nodes all are first compared with its most central
+one, of which copies of one original mostly are; only pairs with a node that this leaves unlinked remain. Those are dealt
+over pairs of sub-groups, so no task holds more than two of them and no pair goes missing. Links connect to components, as
+in operator 10.
 
 Defined cases: a text of fewer words than a shingle is one shingle; null, empty and wordless texts are copies of each
 other; very long texts are shingled whole, their minima taken in stretches; a similarity of exactly 0.8 (a tie) links; a
@@ -20,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, discard, fresh, partitions, stored
+from .common import bound_batches, discard, fresh, partitions, spread_join, stored
 from .simhash import _BLANK, _pivots, components
 
 #: Words of a shingle; similarity of near copies as a fraction.
@@ -112,13 +114,63 @@ def forest(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
     return child, parent
 
 
-def links(members: DataFrame, block: int) -> DataFrame:
-    """a, b: links between nodes that connect all similar ones of a group. members: g (group), node, text."""
-    sizes = members.groupBy("g").count().select("g", F.ceil(F.col("count") / block).cast("int").alias("m"))
-    dealt = members.join(sizes, "g").withColumn("i", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
-    spread = dealt.select("g", "node", "text", "i", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j")).select(
-        F.xxhash64("g", F.least("i", "j"), F.greatest("i", "j")).alias("g"), "node", "text"
-    )
+def central_links(members: DataFrame, sizes: DataFrame, marks: DataFrame, block: int) -> DataFrame | None:
+    """a, b: links of nodes of large groups to the most central one of their group: the one whose fingerprints most nodes
+    of the group share. None without large groups. sizes: g, n; marks: node, keys."""
+    large = stored(sizes.where(F.col("n") > block), "near-large")
+    if not large.take(1):
+        return None
+    inside = spread_join(members.select("g", "node"), large, ["g"])
+    keys = stored(inside.join(marks.select("node", "keys").dropDuplicates(["node"]), "node").select("g", "node", F.explode("keys").alias("key")), "near-large-keys")
+    counts = stored(keys.groupBy("g", "key").agg(F.count("*").alias("n")), "near-large-counts")
+    weights = spread_join(keys, counts.withColumn("w", F.col("n")), ["g", "key"]).groupBy("g", "node").agg(F.sum("w").alias("w"))
+    heads = weights.groupBy("g").agg(F.max(F.struct("w", "node")).getField("node").alias("head"))
+    texts = members.select(F.col("g").alias("hg"), F.col("node").alias("head"), F.col("text").alias("head_text"))
+    with_text = heads.join(texts, [F.col("g") == F.col("hg"), heads["head"] == texts["head"]]).select("g", heads["head"], "head_text")
+    pairs = spread_join(members, stored(with_text.join(large, "g"), "near-heads"), ["g"]).select("node", "text", "head", "head_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for node, text, head, head_text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if head != at:
+                    at, own = head, shingles(head_text)
+                if node != head:
+                    s = shingles(text)
+                    both = len(np.intersect1d(s, own, assume_unique=True))
+                    if BOTTOM * both >= TOP * (len(s) + len(own) - both):
+                        out.append((node, head))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+
+    return stored(pairs.mapInArrow(run, "a bigint, b bigint"), "near-central")
+
+
+def dealt_members(members: DataFrame, sizes: DataFrame, central: DataFrame | None, block: int) -> DataFrame:
+    """g, node, text: members dealt to cells in which all pairs are compared. Every pair of a group is in one of them but
+    those of two nodes that are linked to the central one already."""
+    if central is None:
+        return members
+    done = central.select(F.col("a").alias("node"), F.lit(1).alias("done"))
+    flagged = stored(members.join(done, "node", "left").withColumn("done", F.coalesce("done", F.lit(0))), "near-flagged")
+    each = flagged.groupBy("g").agg(F.sum("done").alias("linked"), F.count("*").alias("n"))
+    cells = lambda c: F.ceil(c / block).cast("int")
+    rest = F.col("n") - F.col("linked")
+    parts = stored(each.select("g", "n", cells(rest).alias("u"), F.when(rest > 0, cells(F.col("linked"))).otherwise(0).alias("l")), "near-cells")
+    rows = spread_join(flagged, parts, ["g"])
+    first = F.col("done") == 0
+    rows = rows.withColumn("i", F.pmod(F.xxhash64("node"), F.greatest(F.when(first, F.col("u")).otherwise(F.col("l")), F.lit(1))).cast("int"))
+    # an unlinked node's block meets all blocks, a linked node's block those of unlinked ones
+    meets = F.when(first, F.sequence(F.lit(0), F.col("u") + F.col("l") - 1)).when(F.col("u") > 0, F.sequence(F.lit(0), F.col("u") - 1))
+    spread = rows.withColumn("i", F.when(first, F.col("i")).otherwise(F.col("u") + F.col("i"))).select("g", "node", "text", "i", F.explode(meets).alias("j"))
+    return spread.select(F.xxhash64("g", F.least("i", "j"), F.greatest("i", "j")).alias("g"), "node", "text")
+
+
+def links(members: DataFrame, marks: DataFrame, block: int) -> DataFrame:
+    """a, b: links between nodes that connect all similar ones of a group. members: g (group), node, text, a stored table."""
+    sizes = stored(members.groupBy("g").agg(F.count("*").alias("n")), "near-sizes")
+    central = central_links(members, sizes, marks, block)
+    spread = dealt_members(members, sizes, central, block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(nodes: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +189,8 @@ def links(members: DataFrame, block: int) -> DataFrame:
                 sets.append(shingles(text))
         yield from found(nodes, sets)
 
-    return spread.repartition(partitions(members.sparkSession), "g").sortWithinPartitions("g").mapInArrow(run, "a bigint, b bigint")
+    out = spread.repartition(partitions(members.sparkSession), "g").sortWithinPartitions("g").mapInArrow(run, "a bigint, b bigint")
+    return out if central is None else out.unionByName(central)
 
 
 def drop_near_copies(docs: DataFrame, *, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,13 +203,15 @@ def drop_near_copies(docs: DataFrame, *, block: int = BLOCK, id_col: str = "doc_
     first = F.min(F.struct((F.col("doc") == least).alias("none"), "doc", "row")).alias("first")
     nodes = stored(marks.groupBy("node").agg(first), "near-nodes")
     # a node's fingerprints are the same in all its rows
-    keys = marks.select("node", F.explode("keys").alias("key")).distinct()
-    stars = keys.withColumn("a", F.min("node").over(Window.partitionBy("key"))).where("a <> node").select("a", F.col("node").alias("b"))
+    keys = stored(marks.select("node", F.explode("keys").alias("key")).distinct(), "near-keys")
+    firsts = stored(keys.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1"), "near-firsts")
+    stars = spread_join(keys, firsts, ["key"]).where("a <> node").select("a", F.col("node").alias("b"))
     groups = components(stars, "near-groups")
+    discard(keys, firsts)
     wanted = nodes.join(groups, "node").select(F.col("root").alias("g"), "node", F.col("first.doc").alias(doc), F.col("first.row").alias(row))
     texts = keyed.select(doc, row, F.col(text_col).cast("string").alias("text"))
     members = stored(texts.join(wanted, [doc, row]).select("g", "node", "text").dropDuplicates(["node"]), "near-members")
-    found = stored(links(members, block), "near-links")
+    found = stored(links(members, marks, block), "near-links")
     discard(members)
     roots = components(found, "near-components")
     discard(found)

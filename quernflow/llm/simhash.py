@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, bound_batches, discard, fresh, partitions, stored
+from .common import LOWER, UPPER, bound_batches, discard, fresh, partitions, spread_join, stored
 
 WORDS, RADIUS, BUCKET, PIVOTS = 3, 3, 4096, 24
 #: Times that crowded buckets are cut again.
@@ -226,12 +226,7 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, radius: int = RADIUS
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of = stored(named.join(least, "root").select("fp", "n", "component_id"), "named")
-    # a fingerprint of more rows than a task's share meets them by broadcast: there are fewer of these than tasks
-    share = (nodes.agg(F.sum("n")).first()[0] or 0) // partitions(docs.sparkSession)
-    many = F.broadcast(of.where(F.col("n") > share).select("fp", "component_id"))
-    few = prints.join(many, "fp", "left_anti").join(of.where(F.col("n") <= share), "fp")
-    cols = ["doc_id", "row", "fp", "component_id"]
-    return prints.join(many, "fp").select(cols).unionByName(few.select(cols))
+    return spread_join(prints, of, ["fp"]).select("doc_id", "row", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -81,3 +81,38 @@ def test_cases(spark):
     got = [r.doc_id for r in near_copies.drop_near_copies(df).collect()]
     assert sorted(x for x in got if x is not None) == [3, 4, 8] and got.count(None) == 1
     assert near_copies.drop_near_copies(df.limit(0)).count() == 0
+
+
+def test_large_group_of_one_original(spark):
+    """Copies that are near their original but not each other, copies of copies, and strangers that share half a text: the
+    central text links most, few are dealt over blocks, and none is lost."""
+    r = random.Random(9)
+    word = lambda: f"w{r.randrange(90_000)}"
+    first = [word() for _ in range(200)]
+
+    def edited(w, n):
+        w = list(w)
+        for k in r.sample(range(len(w) // 10), n):
+            w[10 * k + r.randrange(5)] = word()
+        return w
+
+    texts = [first] + [edited(first, 4) for _ in range(150)]
+    texts += [edited(texts[k], 4) for k in range(1, 30)] + [first[:100] + [word() for _ in range(100)] for _ in range(20)]
+    rows = [(i, " ".join(w)) for i, w in zip(r.sample(range(10_000), len(texts)), texts, strict=True)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    seen = []
+    plain = near_copies.dealt_members
+
+    def counted(members, sizes, central, block):
+        out = near_copies.stored(plain(members, sizes, central, block), "dealt")
+        seen.append((members.count(), central.count(), out.count()))
+        return out
+
+    near_copies.dealt_members = counted
+    try:
+        got = sorted(x.doc_id for x in near_copies.drop_near_copies(df, block=16).collect())
+    finally:
+        near_copies.dealt_members = plain
+    assert got == slow_heads(rows) and len(got) < 25
+    (n, linked, dealt), blocks = seen[0], -(-seen[0][0] // 16)
+    assert linked >= 140 and dealt < n * blocks / 2
