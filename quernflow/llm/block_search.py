@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, partitions
 
-#: Results of a query, documents of a block, of a shard at most, and of a shard at least if there are enough tasks.
-K, BLOCK, SHARD, LEAST, SCALE = 10, 2, 16_384, 4096, 1024
+#: Results of a query, documents of a block, and of a shard at least if there are enough tasks.
+K, BLOCK, LEAST, SCALE = 10, 2, 4096, 1024
+#: Components of a shard's vectors (64 MB, and as much again for bounds): queries meet every shard, so few wide ones.
+SHARD_VALUES = 1 << 23
 #: Documents scored together at first; twice as many each time.
 STEP = 256
 
@@ -106,8 +108,9 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def search(vectors: DataFrame, queries: DataFrame, *, k: int = K, shard: int = SHARD, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id and score of each query's k best among `vectors`. Scores are 64-bit integers."""
+def search(vectors: DataFrame, queries: DataFrame, *, k: int = K, shard: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id and score of each query's k best among `vectors`. Scores are 64-bit integers. `shard`: rows
+    of a shard, by default as many as have SHARD_VALUES components."""
     spark = vectors.sparkSession
     bound_batches(spark)
 
@@ -120,6 +123,7 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = K, shard: int = S
     size = docs.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("w")).first()
     wide = asked.agg(F.max(F.size("v")).alias("w")).first().w or 0
     width = max(1, size.w or 0, wide)
+    shard = shard or max(1, SHARD_VALUES // width)
     shards = max(1, -(-size.n // shard), min(partitions(spark), -(-size.n // LEAST)))
     # a row's number in its file deals it, so equal ids and vectors spread too; numbered again, a row keeps its number
     number = F.monotonically_increasing_id()

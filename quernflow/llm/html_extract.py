@@ -26,7 +26,7 @@ from .crf import ChainCRF
 from .html_blocks import Block, Element, leaf_blocks
 
 #: Pages of the generated training set.
-TRAINING_PAGES = 900
+TRAINING_PAGES = 1200
 
 
 def _own(blocks: list[Block]) -> list[list[str]]:
@@ -61,17 +61,26 @@ def features(blocks: list[Block]) -> list[list[str]]:
     """Feature names of each block of a page."""
     out = []
     for b, own in zip(blocks, _own(blocks), strict=True):
-        e = b.element
+        e, named = b.element, False
         while e is not None:
             own += e.adds
+            if e.words and not named:
+                own += _near(e)
+                named = True
             e = e.parent
-        out.append(sorted(own))
+        out.append(sorted(set(own)))
     return out
 
 
+def _near(e: Element) -> list[str]:
+    """The features of an element with class or id words that hold for its blocks until another such element opens."""
+    return [f"near:{w}" for w in dict.fromkeys(e.words)]
+
+
 def labels_of(blocks: list[Block], model: ChainCRF) -> list[int]:
     """The likeliest labels. What an element's ancestors weigh is summed once for all of its blocks."""
     sums: dict[Element | None, tuple[float, float]] = {None: (0.0, 0.0)}
+    near: dict[Element | None, tuple[float, float]] = {None: (0.0, 0.0)}
     for b in blocks:
         chain, e = [], b.element
         while e not in sums:
@@ -81,7 +90,9 @@ def labels_of(blocks: list[Block], model: ChainCRF) -> list[int]:
             a, c = sums[e.parent]
             x, y = model.weight(e.adds)
             sums[e] = (a + x, c + y)
-    return model.decode(_own(blocks), [sums[b.element] for b in blocks])
+            near[e] = model.weight(_near(e)) if e.words else near[e.parent]
+    both = [(*sums[b.element], *near[b.element]) for b in blocks]
+    return model.decode(_own(blocks), [(a + x, c + y) for a, c, x, y in both])
 
 
 class _Writer:
@@ -90,16 +101,16 @@ class _Writer:
     SYLLABLES = "ba ce di fo gu ha je ki lo mu na pe ri so tu va we xi yo za el an or is um et au ei ou ch st tr".split()
     #: Parts of a page that are not its article, as elements and class words.
     PARTS = {
-        "nav": ("menu", "navbar", "nav", "navigation", "breadcrumb", "breadcrumbs", "topnav", "links", "main-menu"),
-        "aside": ("sidebar", "side", "related", "widget", "rail", "recommended", "popular"),
-        "header": ("header", "masthead", "site-header", "top", "branding", "logo"),
-        "footer": ("footer", "site-footer", "bottom", "copyright", "legal"),
-        "ad": ("ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner", "adbox"),
-        "notice": ("cookie", "notice", "consent", "cookie-banner", "gdpr", "alert", "newsletter", "popup", "modal", "paywall", "subscribe"),
-        "comments": ("comments", "comment", "comment-list", "reader-comments", "discussion", "replies", "disqus", "responses"),
-        "share": ("share", "social", "sharing", "toolbar", "buttons", "tags", "pagination"),
+        "nav": "menu navbar nav navigation breadcrumb breadcrumbs topnav links main-menu site-nav nav-list menubar sitemap skip-link main-nav".split(),
+        "aside": "sidebar side related widget rail recommended popular widget-area secondary trending more-stories read-next also-like most-read".split(),
+        "header": "header masthead site-header top branding logo site-title page-header top-bar brand".split(),
+        "footer": "footer site-footer bottom copyright legal site-info colophon credits foot page-footer disclaimer terms".split(),
+        "ad": "ad ads advert advertisement sponsored promo banner adbox advertising ad-slot ad-container sponsor promoted adsense banner-ad".split(),
+        "notice": "cookie notice consent cookie-banner gdpr alert newsletter popup modal paywall subscribe cookies privacy signup subscription overlay toast cookie-notice".split(),
+        "comments": "comments comment comment-list reader-comments discussion replies disqus responses comments-area commentlist respond reply user-comments feedback".split(),
+        "share": "share social sharing toolbar buttons tags pagination social-links share-buttons follow-us pager tag-list".split(),
     }
-    CONTENT = ("content", "post", "entry", "article", "article-body", "story", "text", "body", "post-content", "entry-content", "page")
+    CONTENT = "content post entry article article-body story text body post-content entry-content page main-content article-content story-body article-text post-body hentry".split()
 
     def __init__(self, seed: int):
         self.r = random.Random(seed)
@@ -129,7 +140,7 @@ class _Writer:
             inner.append((r.choice(("&copy; ", "Copyright ", "")) + self.words(1, 30), 0))
         if kind in ("ad", "notice", "aside", "comments", "header") or not inner:
             for _ in range(r.randint(1, 4)):
-                tag = r.choice(("h1", "h1", "h2", "p", "div", "") if kind == "header" else ("p", "div", "h3", "", "p", "span"))
+                tag = r.choice(("h1", "h1", "h2", "p", "div", "") if kind == "header" else ("p", "div", "h3", "h4", "", "p", "span"))
                 text = self.sentence(1, 40)
                 text = f'<a href="#">{text}</a>' if r.random() < 0.2 else text
                 inner += [(f"<{tag}>", -1), (text, 0), (f"</{tag}>", -1)] if tag else [(text, 0)]
