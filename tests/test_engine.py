@@ -330,3 +330,21 @@ def test_shared_folder_is_needed_on_clusters(spark, monkeypatch):
             session.shared_path(Session(master), "x")
     assert session.shared_path(Session("local[4]"), "x").startswith("file:///tmp/")
     assert session.shared_path(Session("yarn", "hdfs://c/shared/"), "x").startswith("hdfs://c/shared/quernflow/x-")
+
+
+def test_count_star_reads_footers_only(spark, tmp_path):
+    """A count takes no column: it comes from the files' footers even where every data page is damaged."""
+    path = tmp_path / "t"
+    spark.range(50_000).selectExpr("id", "id * 3 AS x").coalesce(1).write.option("compression", "none").parquet(str(path))
+    (part,) = path.glob("part-*.parquet")
+    raw = bytearray(part.read_bytes())
+    footer = int.from_bytes(raw[-8:-4], "little") + 8
+    raw[4 : len(raw) - footer] = bytes(len(raw) - footer - 4)
+    part.write_bytes(raw)
+    for crc in path.glob(".*.crc"):
+        crc.unlink()
+    catalog = Catalog(spark)
+    catalog.register("t", catalog.spark.read.parquet(str(path)))
+    assert [r.n for r in catalog.sql("SELECT COUNT(*) AS n FROM t", "strict").collect()] == [50_000]
+    with pytest.raises(Exception, match="(?i)parquet|decode|page|read"):
+        catalog.sql("SELECT SUM(x) AS s FROM t", "strict").collect()
