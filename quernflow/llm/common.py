@@ -68,8 +68,7 @@ def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, label)
     df.write.options(**options).parquet(path)
-    files, target = _file_system(spark, path)
-    files.deleteOnExit(target)
+    drop_at_end(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[id(out)] = (weakref.ref(out, lambda _, k=id(out): _PATHS.pop(k, None)), path)
     return out
@@ -83,6 +82,12 @@ def discard(*tables: DataFrame) -> None:
             drop_path(table.sparkSession, got[1])
 
 
+def drop_at_end(spark: SparkSession, path: str) -> None:
+    """Remove a folder that has been written when the driver ends."""
+    files, target = _file_system(spark, path)
+    files.deleteOnExit(target)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a work folder through Hadoop's file system."""
     files, target = _file_system(spark, path)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, id_bounds, partitions, work_path
+from .common import bound_batches, drop_at_end, id_bounds, partitions, work_path
 from .wordbpe import encoder, spans
 
 MAGIC = b"QFR1"
@@ -267,7 +267,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_files(docs: DataFrame, tokenizer: str, *, end_id: int = 1) -> DataFrame:
-    """Write a table's token files below the shared folder and read them back."""
+    """Write a table's token files below the shared folder and read them back; they go when the driver ends."""
     path = work_path(docs.sparkSession, "tokens")
     write_tokens(docs, path, tokenizer, end_id=end_id)
+    drop_at_end(docs.sparkSession, path)
     return read_tokens(docs.sparkSession, path)
