@@ -38,11 +38,17 @@ def dialect_session(spark: SparkSession) -> SparkSession:
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder that driver and executors share, spark.checkpoint.dir. Only where it is unset and all
-    runs in one process (master local) a folder below /tmp stands in; on a cluster the setting is needed."""
+    """A fresh folder in the one that driver and executors share, spark.checkpoint.dir; it goes when the driver ends. Only
+    where the setting is missing and all runs in one process (master local) a folder below /tmp stands in; on a cluster it
+    is needed."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file:///tmp/quernflow-shared"
-    return f"{root.rstrip('/')}/quernflow/{label}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/quernflow/{label}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(target)
+    files.deleteOnExit(target)
+    return path
