@@ -34,7 +34,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, Jaccard similarity of 0.8 or more."""
+    """One document of each group of near copies: operator 10's links, widened by min-wise candidates, and an exact Jaccard
+    similarity of five-word shingles of 0.8 or more."""
     return near.drop_near_copies(docs)
 
 

@@ -1,10 +1,11 @@
-"""Near copies by exact Jaccard similarity of five-word shingles: the pipeline's stage.
-
-Operator 10 links SimHashes within 3 of 64 bits; pairs of Jaccard similarity 0.8 differ by about 10 bits, so a radius
-that holds them has no selective buckets. Candidates come from several fingerprints of the shingle set instead: `BANDS`
-min-wise fingerprints of `ROWS` minima each. A pair of similarity s shares none of them with probability
-(1 - s^ROWS)^BANDS: 0.0002 at 0.8. Texts with the same set are one node. Nodes that share a fingerprint, directly or
-through others, form a group; each group's texts come together once and all its pairs that are not yet connected are
+"""Operator 10 with an exact similarity: near copies by Jaccard similarity of five-word shingles, the pipeline's stage.
+
+Each text has a SimHash of its shingle set; pairs within `RADIUS` bits come from operator 10's buckets, pivot distance
+tables and distances (`simhash.links`). Pairs of Jaccard similarity 0.8 differ by about 10 bits, though, and a radius that
+holds them has no selective buckets, nor do pivots discard anything there. So texts also have `BANDS` min-wise fingerprints
+of `ROWS` minima each, and those that share one are candidates as well. A pair of similarity s shares none of them with
+probability (1 - s^ROWS)^BANDS: 0.0002 at 0.8. Texts with the same set are one node. Nodes that are candidates, directly
+or through others, form a group; each group's texts come together once and all its pairs that are not yet connected are
 compared by their exact similarity. In a group of more than `block` nodes all are first compared with its most central
 one, of which copies of one original mostly are; only pairs with a node that this leaves unlinked remain. Those are dealt
 over pairs of sub-groups, so no task holds more than two of them and no pair goes missing. Links connect to components, as
@@ -25,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import bound_batches, discard, fresh, partitions, spread_join, stored
-from .simhash import _BLANK, _pivots, components
+from .simhash import _BLANK, RADIUS, _pivots, components
 
 #: Words of a shingle; similarity of near copies as a fraction.
 WORDS, TOP, BOTTOM = 5, 4, 5
@@ -65,25 +67,26 @@ def bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def prints(docs: DataFrame, doc: str, row: str, text_col: str) -> DataFrame:
-    """doc, row, node (hash of the shingle set; 0 without words) and keys (its fingerprints) of every row."""
+    """doc, row, node (hash of the shingle set; 0 without words), fp (its SimHash) and keys (its min-wise fingerprints, and
+    the SimHash as one more) of every row."""
     import xxhash
 
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, keys = [], []
+            nodes, prints_, keys = [], [], []
             for text in batch.column(2).to_pylist():
                 s = shingles(text)
                 nodes.append(xxhash.xxh64_intdigest(s.tobytes(), 42) if len(s) else 0)
-                keys.append(bands(s).view(np.int64) if len(s) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc", "row", "node", "keys"],
-            )
+                prints_.append(simhash.majority(s) if len(s) else 0)
+                own = _mix(np.array([prints_[-1]], np.uint64) + np.uint64(BANDS))
+                keys.append(np.r_[bands(s), own].view(np.int64) if len(s) else np.zeros(0, np.int64))
+            signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, prints_)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *signed, pa.array(keys, pa.list_(pa.int64()))], names=["doc", "row", "node", "fp", "keys"])
 
     rows = docs.select(F.col(doc).alias("doc"), F.col(row).alias("row"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc bigint, row bigint, node bigint, keys array<bigint>")
+    return rows.mapInArrow(run, "doc bigint, row bigint, node bigint, fp bigint, keys array<bigint>")
 
 
 def forest(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
@@ -206,8 +209,12 @@ def drop_near_copies(docs: DataFrame, *, block: int = BLOCK, id_col: str = "doc_
     keys = stored(marks.select("node", F.explode("keys").alias("key")).distinct(), "near-keys")
     firsts = stored(keys.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1"), "near-firsts")
     stars = spread_join(keys, firsts, ["key"]).where("a <> node").select("a", F.col("node").alias("b"))
-    groups = components(stars, "near-groups")
-    discard(keys, firsts)
+    prints_ = stored(marks.where(F.size("keys") > 0).groupBy("fp").agg(F.min("node").alias("node")), "near-fingerprints")
+    near = stored(simhash.links(prints_.select("fp"), radius=RADIUS), "near-fingerprint-links")
+    one, two = (prints_.select(F.col("fp").alias(c), F.col("node").alias(n)) for c, n in (("a", "x"), ("b", "y")))
+    bits = near.join(one, "a").join(two, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    groups = components(stars.unionByName(bits), "near-groups")
+    discard(keys, firsts, prints_, near)
     wanted = nodes.join(groups, "node").select(F.col("root").alias("g"), "node", F.col("first.doc").alias(doc), F.col("first.row").alias(row))
     texts = keyed.select(doc, row, F.col(text_col).cast("string").alias("text"))
     members = stored(texts.join(wanted, [doc, row]).select("g", "node", "text").dropDuplicates(["node"]), "near-members")

@@ -45,7 +45,12 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
         return 0
     shingles = map(" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else [" ".join(w)]
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(s, 42) for s in shingles], "<u8")
+    return majority(np.array([digest(s, 42) for s in shingles], "<u8"))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    h = h.astype("<u8", copy=False)
     counts = np.zeros(64, np.int64)
     for a in range(0, len(h), 65536):
         counts += np.unpackbits(h[a : a + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
