@@ -54,6 +54,14 @@ def modulo(a: Column, b: Column, t: T.DataType) -> Column:
     return F.when(a.isNull() | b.isNull(), None).when(b == 0, F.lit(math.nan)).otherwise(a % b).cast(t)
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """CORR of two doubles; NULL where a side is the same in all pairs. Spark's variance does not tell: merging partial
+    means leaves a constant with a variance of rounding errors in some layouts, and the quotient is noise then."""
+    out = F.corr(x, y)
+    same = [F.min(c) == F.max(c) for c in (F.when(y.isNotNull(), x), F.when(x.isNotNull(), y))]
+    return F.when((same[0] | same[1]) & ~F.isnan(out), None).otherwise(out)
+
+
 def _whole(c: Column, f: Callable[[Column], Column]) -> Column:
     """floor or ceil as double; doubles beyond 2**53 are whole already."""
     x = c.cast("double")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.strict import BOOL, DOUBLE, FUNCTIONS, INT, LONG, STRING, Typed, divide, is_number, modulo, seeded_random, wider, widest
+from ..functions.strict import BOOL, DOUBLE, FUNCTIONS, INT, LONG, STRING, Typed, correlation, divide, is_number, modulo, seeded_random, wider, widest
 from .parser import Select, SqlError, Union, parse
 
 #: Rows of the smaller side above which a join without an equality is refused, when the guard is on.
@@ -232,6 +232,8 @@ class Binder:
             return (F.sum_distinct(c) if distinct else F.sum(c)).cast(LONG if whole else DOUBLE), LONG if whole else DOUBLE
         if name == "avg":
             return (F.sum_distinct(c) / F.count_distinct(c) if distinct else F.avg(c)).cast(DOUBLE), DOUBLE
+        if name == "corr":
+            return correlation(c.cast(DOUBLE), bound[1][0].cast(DOUBLE)), DOUBLE
         if name in _PAIRS:
             return _PAIRS[name](c.cast(DOUBLE), bound[1][0].cast(DOUBLE)), DOUBLE
         return _MOMENTS[name](c.cast(DOUBLE)), DOUBLE

@@ -329,6 +329,15 @@ def test_shared_folder_is_needed_on_clusters(spark):
     assert one != two and Place(spark, one).children() == []
 
 
+def test_correlation_with_a_constant_is_null_however_rows_are_dealt(spark):
+    catalog = Catalog(spark)  # partial means of 49 ones come out of a merge as 0.9999999999999999
+    catalog.register("t", catalog.spark.range(0, 98, 1, 2).selectExpr("CAST(id AS double) AS x", "1 AS one", "IF(id % 7 = 0, NULL, 0.1D) AS gaps", "IF(id < 60, id, NULL) AS part", "IF(id < 60, 3, id) AS late", "IF(id = 5, double('nan'), 2D) AS odd"))
+    row = catalog.sql("SELECT CORR(x, 1) a, CORR(one, x) b, CORR(x, gaps) c, CORR(part, late) d, CORR(one, gaps) e, CORR(x, x + x) f, CORR(x, -part) g, CORR(one, odd) h FROM t", "strict").first()
+    assert tuple(row)[:5] == (None,) * 5
+    assert row.f == pytest.approx(1) and row.g == pytest.approx(-1) and math.isnan(row.h)
+    assert catalog.sql("SELECT CORR(x, one) a FROM t WHERE x < 0 UNION ALL SELECT CORR(x, x) FROM t WHERE x = 3", "strict").collect() == [(None,), (None,)]
+
+
 def test_count_star_reads_footers_only(spark, tmp_path):
     """A count takes no column: it comes from the files' footers even where every data page is damaged."""
     path = tmp_path / "t"
