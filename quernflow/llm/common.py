@@ -6,6 +6,7 @@ import re
 import uuid
 import weakref
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: Rows per Arrow batch handed to Python: whole texts can be long, so batches stay small.
 ARROW_ROWS = 1500
-#: Folders of stored tables that are still in use, by the table's identity.
+#: Folders of stored tables that are still in use, by the table's identity; None for those in Spark's block store.
 _PATHS: dict[int, tuple] = {}
 
 
@@ -69,17 +70,33 @@ def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
     path = work_path(spark, label)
     df.write.options(**options).parquet(path)
     drop_at_end(spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _PATHS[id(out)] = (weakref.ref(out, lambda _, k=id(out): _PATHS.pop(k, None)), path)
-    return out
+    return _known(spark.read.schema(df.schema).parquet(path), path)
+
+
+def cached(df: DataFrame) -> DataFrame:
+    """`df` computed once, in the executors' block stores on disk, until `discard` or the driver's end. Parts that are
+    lost with an executor are computed again. Unlike `stored` this creates no files in Hadoop's file system, which
+    without its native library starts a process for the mode of each one."""
+    # the literal tells its plan from that of an earlier call: Spark takes equal plans over the same paths for the same
+    # rows, also when the files have changed
+    out = df.where(F.lit(uuid.uuid4().hex).isNotNull()).persist(StorageLevel.DISK_ONLY)
+    out.count()
+    return _known(out, None)
+
+
+def _known(table: DataFrame, path: str | None) -> DataFrame:
+    _PATHS[id(table)] = (weakref.ref(table, lambda _, k=id(table): _PATHS.pop(k, None)), path)
+    return table
 
 
 def discard(*tables: DataFrame) -> None:
-    """Remove the folders of tables that `stored` gave and that nothing reads any more."""
+    """Free the tables that `stored` and `cached` gave and that nothing reads any more."""
     for table in tables:
-        got = _PATHS.pop(id(table), None)
-        if got:
-            drop_path(table.sparkSession, got[1])
+        _, path = _PATHS.pop(id(table), (None, ""))
+        if path:
+            drop_path(table.sparkSession, path)
+        elif path is None:
+            table.unpersist()
 
 
 def drop_at_end(spark: SparkSession, path: str) -> None:

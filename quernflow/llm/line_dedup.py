@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, bound_batches, discard, fresh, lower_ascii, partitions, stored
+from .common import BLANKS, bound_batches, cached, discard, fresh, lower_ascii, partitions
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Lines of an undecided run that a task holds before it leaves them to the counts of all tasks.
@@ -131,7 +131,7 @@ class Marks:
 
 def drop_marks(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, row, pos, n_lines of every line to drop. Texts are split and hashed once: the ranges' bounds are sampled
-    from the stored hashes."""
+    from the kept hashes. Neither these nor the marks become files, so no task starts processes for them."""
     parts = partitions(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,9 +140,9 @@ def drop_marks(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = M
             yield from marks.add([c.to_numpy(zero_copy_only=False) for c in batch.columns])
         yield from marks.end()
 
-    lines = stored(hashed_lines(docs, min_chars, id_col, text_col), "line-hashes")
+    lines = cached(hashed_lines(docs, min_chars, id_col, text_col))
     ordered = lines.repartitionByRange(parts, "h1", "h2", F.desc("doc"), "pos", "row").sortWithinPartitions("h1", "h2", F.desc("doc"), "pos", "row")
-    marks = stored(ordered.mapInArrow(run, _MARKS), "line-marks")
+    marks = cached(ordered.mapInArrow(run, _MARKS))
     discard(lines)
     opened = marks.where("open")
     by_doc = opened.groupBy("h1", "h2", "doc").agg(F.max("n_docs").alias("n"))

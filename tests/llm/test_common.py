@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from quernflow.llm import common
@@ -46,3 +48,21 @@ def test_words_and_lower_case(spark):
         t = texts[r.i]
         assert r.w == (None if t is None else [x for x in t.translate(str.maketrans("\t\n\x0b\x0c\r", "     ")).split(" ") if x])
         assert r.l == (None if t is None else "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))
+
+
+def test_cached_tables(spark, tmp_path):
+    """Kept without files until they are discarded, and an equal plan over changed files has the new rows."""
+    path = str(tmp_path / "t.parquet")
+    pq.write_table(pa.table({"id": range(10)}), path)
+    first = common.cached(spark.read.parquet(path))
+    assert first.storageLevel.useDisk and not first.storageLevel.useMemory and not [f for f in first.inputFiles() if common.shared_dir(spark) in f]
+    pq.write_table(pa.table({"id": range(20)}), path)
+    assert first.count() == 10
+    second = common.cached(spark.read.parquet(path))
+    assert second.count() == 20
+    common.discard(first, second)
+    assert not first.storageLevel.useDisk and not second.storageLevel.useDisk
+    mine = spark.range(3).persist()
+    common.discard(mine)  # not its own
+    assert mine.storageLevel.useDisk
+    mine.unpersist()

@@ -383,6 +383,17 @@ def test_lines_of_repeated_rows_and_clashing_names(spark):
     assert got == [*((i, 1, 3, 2, 1, "x") for i in (1, 2, 3, 3, 4, 5)), (8, 0, 30_000, 30_000, 1, "x"), (9, len(rows[-1][1]), 30_000, 0, 1, "x")]
 
 
+def test_lines_are_dropped_without_files(spark, monkeypatch):
+    """Every file that a task creates starts processes that are counted with the executor's memory."""
+    from pyspark.sql import DataFrameWriter
+
+    line = "This line is long enough to be counted as a passage"
+    df = spark.createDataFrame([(i, f"{line}\n{i}") for i in range(6)], "doc_id bigint, text string")
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda *_: pytest.fail("a table was written"))
+    rows, _, n_dropped = line_dedup.dedup_lines(df)
+    assert {r.doc_id: (r.text, r[n_dropped]) for r in rows.collect()} == {i: (str(i), 1) for i in range(5)} | {5: (f"{line}\n5", 0)}
+
+
 # 9: language model
 
 
