@@ -117,7 +117,7 @@ def partitions(spark: SparkSession) -> int:
 
 
 def spread_join(many: DataFrame, one: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
-    """An inner join of `many` with the one row that `one`, a stored table, has for each key; its column `n` says how many
+    """An inner join of `many` with the one row that `one`, a stored or cached table, has for each key; its column `n` says how many
     rows of `many` that is. Keys with more than a task's share of all rows meet theirs by broadcast: there are fewer of
     these than tasks. All others are shuffled."""
     share = (one.agg(F.sum(n)).first()[0] or 0) // partitions(many.sparkSession)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import bound_batches, discard, fresh, partitions, spread_join, stored
+from .common import bound_batches, cached, discard, fresh, partitions, spread_join, stored
 from .simhash import _BLANK, RADIUS, _pivots, components
 
 #: Words of a shingle; similarity of near copies as a fraction.
@@ -170,7 +170,7 @@ def dealt_members(members: DataFrame, sizes: DataFrame, central: DataFrame | Non
 
 
 def links(members: DataFrame, marks: DataFrame, block: int) -> DataFrame:
-    """a, b: links between nodes that connect all similar ones of a group. members: g (group), node, text, a stored table."""
+    """a, b: links between nodes that connect all similar ones of a group. members: g (group), node, text, a table that is stored or cached."""
     sizes = stored(members.groupBy("g").agg(F.count("*").alias("n")), "near-sizes")
     central = central_links(members, sizes, marks, block)
     spread = dealt_members(members, sizes, central, block)
@@ -202,14 +202,14 @@ def drop_near_copies(docs: DataFrame, *, block: int = BLOCK, id_col: str = "doc_
     doc, row = fresh(docs, "doc", "row")
     least = F.lit(-(1 << 63)).cast("bigint")  # stands for a null id
     keyed = docs.withColumns({doc: F.coalesce(F.col(id_col).cast("bigint"), least), row: F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
-    marks = stored(prints(keyed, doc, row, text_col), "near-prints")
+    marks = cached(prints(keyed, doc, row, text_col))
     first = F.min(F.struct((F.col("doc") == least).alias("none"), "doc", "row")).alias("first")
-    nodes = stored(marks.groupBy("node").agg(first), "near-nodes")
+    nodes = cached(marks.groupBy("node").agg(first))
     # a node's fingerprints are the same in all its rows
-    keys = stored(marks.select("node", F.explode("keys").alias("key")).distinct(), "near-keys")
-    firsts = stored(keys.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1"), "near-firsts")
+    keys = cached(marks.select("node", F.explode("keys").alias("key")).distinct())
+    firsts = cached(keys.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1"))
     stars = spread_join(keys, firsts, ["key"]).where("a <> node").select("a", F.col("node").alias("b"))
-    prints_ = stored(marks.where(F.size("keys") > 0).groupBy("fp").agg(F.min("node").alias("node")), "near-fingerprints")
+    prints_ = cached(marks.where(F.size("keys") > 0).groupBy("fp").agg(F.min("node").alias("node")))
     near = stored(simhash.links(prints_.select("fp"), radius=RADIUS), "near-fingerprint-links")
     one, two = (prints_.select(F.col("fp").alias(c), F.col("node").alias(n)) for c, n in (("a", "x"), ("b", "y")))
     bits = near.join(one, "a").join(two, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
@@ -217,7 +217,7 @@ def drop_near_copies(docs: DataFrame, *, block: int = BLOCK, id_col: str = "doc_
     discard(keys, firsts, prints_, near)
     wanted = nodes.join(groups, "node").select(F.col("root").alias("g"), "node", F.col("first.doc").alias(doc), F.col("first.row").alias(row))
     texts = keyed.select(doc, row, F.col(text_col).cast("string").alias("text"))
-    members = stored(texts.join(wanted, [doc, row]).select("g", "node", "text").dropDuplicates(["node"]), "near-members")
+    members = cached(texts.join(wanted, [doc, row]).select("g", "node", "text").dropDuplicates(["node"]))
     found = stored(links(members, marks, block), "near-links")
     discard(members)
     roots = components(found, "near-components")

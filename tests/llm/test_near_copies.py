@@ -116,3 +116,13 @@ def test_large_group_of_one_original(spark):
     assert got == slow_heads(rows) and len(got) < 25
     (n, linked, dealt), blocks = seen[0], -(-seen[0][0] // 16)
     assert linked >= 140 and dealt < n * blocks / 2
+
+
+def test_large_tables_are_not_files(spark, monkeypatch):
+    """Every file that a task creates starts processes that are counted with the executor's memory."""
+    labels = []
+    monkeypatch.setattr(near_copies, "stored", lambda df, label, f=near_copies.stored: labels.append(label) or f(df, label))
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(1, text), (2, text + " x"), (3, "other words here")], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in near_copies.drop_near_copies(df).collect()) == [1, 3]
+    assert not {"near-prints", "near-nodes", "near-keys", "near-firsts", "near-fingerprints", "near-members"} & {*labels}
